@@ -1,0 +1 @@
+"""Holds nothing: no streaming operator is in scope (see README)."""

@@ -8,9 +8,10 @@ number of them. In each group,
     covered      = those of them with at least one event
     coverage_pct = 100 * covered / population
 
-Events are reduced to distinct subjects before any join. That reduction starts on
+Events are reduced to one row per subject before any join. The reduction starts on
 the map side, so a subject holding a large share of all events costs each task one
-row, and the join that follows is on keys that occur once per period at most.
+row, and it leaves the rows placed as the join needs them: events are shuffled once,
+and the join key occurs once on their side.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from rollcall.functions.rates import coverage_pct
 # Internal names, out of the way of the caller's columns.
 _SUBJECT = "__subject"
 _REACHED = "__reached"
+_PERIODS = "__periods"
 
 
 def _members(register: DataFrame, subject: str, by: Sequence[str], unique_subjects: bool) -> DataFrame:
@@ -33,14 +35,13 @@ def _members(register: DataFrame, subject: str, by: Sequence[str], unique_subjec
     return members if unique_subjects else members.distinct()
 
 
-def _reached(events: DataFrame, event_subject: str, *cols: str) -> DataFrame:
-    """Distinct subjects in ``events``, per ``cols`` if any are given.
+def _placed(events: DataFrame, event_subject: str, *cols: str) -> DataFrame:
+    """The events cut down to subject and ``cols``, less those missing either.
 
-    An event without a subject or without a period cannot be placed and is left out.
+    An event without a subject or a period belongs to no member or no cell.
     """
-    reached = events.select(F.col(event_subject).alias(_REACHED), *cols)
-    placed = reduce(Column.__and__, (F.col(c).isNotNull() for c in reached.columns))
-    return reached.where(placed).distinct()
+    placed = events.select(F.col(event_subject).alias(_REACHED), *cols)
+    return placed.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in placed.columns)))
 
 
 def coverage_by_group(
@@ -60,7 +61,7 @@ def coverage_by_group(
     Returns ``by..., population, covered, coverage_pct``.
     """
     members = _members(register, subject, by, unique_subjects)
-    reached = _reached(events, event_subject or subject)
+    reached = _placed(events, event_subject or subject).distinct()
     return (
         members.join(reached, F.col(_SUBJECT) == F.col(_REACHED), "left")
         .groupBy(*by)
@@ -92,10 +93,16 @@ def coverage_grid(
     Returns ``by..., period, population, covered, coverage_pct``.
     """
     members = _members(register, subject, by, unique_subjects)
-    reached = _reached(events, event_subject or subject, period)
-
+    # A set per subject, no longer than the grid has periods, where distinct (subject,
+    # period) rows would have to be shuffled once more to be joined on the subject.
+    reached = (
+        _placed(events, event_subject or subject, period)
+        .groupBy(_REACHED)
+        .agg(F.collect_set(period).alias(_PERIODS))
+    )
     covered = (
         members.join(reached, F.col(_SUBJECT) == F.col(_REACHED))
+        .select(*by, F.explode(_PERIODS).alias(period))
         .groupBy(*by, period)
         .agg(F.count(F.lit(1)).alias("covered"))
     )

@@ -1,0 +1,190 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from rollcall import coverage_by_group, coverage_change, coverage_grid, coverage_rollup
+from rollcall.functions import coverage_pct, in_year
+
+# Repeats a member, has one without a group and one without a subject.
+REGISTER = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (None, "b"), (6, "c")]
+# Repeats events, names a stranger, skips 2001, and lacks a subject or a period.
+EVENTS = [(1, 2000), (1, 2000), (1, 2002), (3, 2003), (4, 2000), (99, 1990), (None, 2005), (2, None)]
+
+
+@pytest.fixture(scope="module")
+def register(spark):
+    return spark.createDataFrame(REGISTER, "id long, grp string")
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    return spark.createDataFrame(EVENTS, "who long, yr int")
+
+
+def by_group_rows(df):
+    rows = df.collect()
+    for r in rows:
+        assert r["coverage_pct"] == brute.pct(r["covered"], r["population"])
+    out = {r["grp"]: (r["population"], r["covered"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def grid_rows(df):
+    rows = df.collect()
+    for r in rows:
+        assert r["coverage_pct"] == brute.pct(r["covered"], r["population"])
+    out = {(r["grp"], r["yr"]): (r["population"], r["covered"]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_by_group(register, events):
+    got = coverage_by_group(register, events, subject="id", by=["grp"], event_subject="who")
+    assert got.columns == ["grp", "population", "covered", "coverage_pct"]
+    assert by_group_rows(got) == {"a": (2, 2), "b": (2, 1), None: (2, 1), "c": (1, 0)}
+    assert by_group_rows(got) == brute.by_group(REGISTER, [s for s, _ in EVENTS])
+
+
+def test_unique_subjects_changes_no_result(register, events):
+    once = register.distinct()
+    args = dict(subject="id", by=["grp"], event_subject="who")
+    assert by_group_rows(
+        coverage_by_group(once, events, unique_subjects=True, **args)
+    ) == by_group_rows(coverage_by_group(register, events, **args))
+    assert grid_rows(
+        coverage_grid(once, events, period="yr", unique_subjects=True, **args)
+    ) == grid_rows(coverage_grid(register, events, period="yr", **args))
+
+
+def test_one_subject_in_several_groups_counts_in_each(spark, events):
+    pairs = [(1, "a"), (1, "b"), (2, "b")]
+    register = spark.createDataFrame(pairs, "id long, grp string")
+    args = dict(subject="id", by=["grp"], event_subject="who")
+    assert by_group_rows(coverage_by_group(register, events, **args)) == {"a": (1, 1), "b": (2, 2)}
+    assert grid_rows(coverage_grid(register, events, period="yr", **args)) == brute.grid(pairs, EVENTS)
+
+
+def test_by_several_columns_and_subject_of_the_same_name(spark):
+    register = spark.createDataFrame([(1, "a", 7), (2, "a", 8), (3, "a", 8)], "id long, g string, h int")
+    events = spark.createDataFrame([(2,), (2,)], "id long")
+    got = coverage_by_group(register, events, subject="id", by=["g", "h"])
+    assert {tuple(r) for r in got.collect()} == {("a", 7, 1, 0, 0.0), ("a", 8, 2, 1, 50.0)}
+
+
+def test_subject_may_be_a_group_column(spark):
+    register = spark.createDataFrame([(1,), (2,)], "id long")
+    events = spark.createDataFrame([(2,)], "id long")
+    got = coverage_by_group(register, events, subject="id", by=["id"])
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 0, 0.0), (2, 1, 1, 100.0)}
+
+
+def test_no_events(register, events):
+    got = coverage_by_group(
+        register, events.limit(0), subject="id", by=["grp"], event_subject="who"
+    )
+    assert by_group_rows(got) == {"a": (2, 0), "b": (2, 0), None: (2, 0), "c": (1, 0)}
+
+
+def test_grid(register, events):
+    got = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    assert got.columns == ["grp", "yr", "population", "covered", "coverage_pct"]
+    cells = grid_rows(got)
+    assert cells == brute.grid(REGISTER, EVENTS)
+    # 1990 is a stranger's and 2005 nobody's, so the grid runs from 2000 to 2003.
+    assert len(cells) == 4 * 4
+    assert cells["a", 2001] == (2, 0)
+    assert cells[None, 2000] == (2, 1)
+    assert all(cells["c", year] == (1, 0) for year in range(2000, 2004))
+
+
+def test_grid_without_events_is_empty(register, events):
+    args = dict(subject="id", by=["grp"], period="yr", event_subject="who")
+    assert coverage_grid(register, events.limit(0), **args).collect() == []
+    assert coverage_grid(register, events.where("who = 99"), **args).collect() == []
+    assert coverage_grid(register.limit(0), events, **args).collect() == []
+
+
+def test_grid_takes_wide_periods(spark):
+    register = spark.createDataFrame([(1, "a")], "id long, grp string")
+    far = 3_000_000_000
+    events = spark.createDataFrame([(1, far), (1, far + 2)], "who long, yr long")
+    got = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    assert grid_rows(got) == {("a", far): (1, 1), ("a", far + 1): (1, 0), ("a", far + 2): (1, 1)}
+
+
+def test_grid_period_may_share_a_register_column_name(spark):
+    register = spark.createDataFrame([(1, "a", 5)], "id long, grp string, yr int")
+    events = spark.createDataFrame([(1, 2000)], "who long, yr int")
+    got = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    assert grid_rows(got) == {("a", 2000): (1, 1)}
+
+
+def test_change(register, events):
+    grid = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    got = coverage_change(grid, by=["grp"], period="yr")
+    assert got.columns == grid.columns + ["previous_pct", "change_pct_points"]
+    rows = {(r["grp"], r["yr"]): (r["previous_pct"], r["change_pct_points"]) for r in got.collect()}
+    assert rows == {
+        ("a", 2000): (None, None),
+        ("a", 2001): (50.0, -50.0),
+        ("a", 2002): (0.0, 50.0),
+        ("a", 2003): (50.0, -50.0),
+        ("b", 2000): (None, None),
+        ("b", 2001): (0.0, 0.0),
+        ("b", 2002): (0.0, 0.0),
+        ("b", 2003): (0.0, 50.0),
+        ("c", 2000): (None, None),
+        ("c", 2001): (0.0, 0.0),
+        ("c", 2002): (0.0, 0.0),
+        ("c", 2003): (0.0, 0.0),
+        (None, 2000): (None, None),
+        (None, 2001): (50.0, -50.0),
+        (None, 2002): (0.0, 0.0),
+        (None, 2003): (0.0, 0.0),
+    }
+
+
+def test_rollup_adds_counts_and_tells_totals_from_null_groups(spark):
+    counts = [("N", "x", 10, 1), ("N", "y", 90, 81), ("S", None, 100, 0), (None, None, 50, 25)]
+    coverage = spark.createDataFrame(counts, "region string, unit string, population long, covered long")
+    rows = {tuple(r) for r in coverage_rollup(coverage, levels=["region", "unit"]).collect()}
+    assert rows == {
+        ("N", "x", 0, 0, 10, 1, 10.0),
+        ("N", "y", 0, 0, 90, 81, 90.0),
+        ("S", None, 0, 0, 100, 0, 0.0),
+        (None, None, 0, 0, 50, 25, 50.0),
+        ("N", None, 0, 1, 100, 82, 82.0),  # not 50, the mean of the two rates
+        ("S", None, 0, 1, 100, 0, 0.0),
+        (None, None, 0, 1, 50, 25, 50.0),
+        (None, None, 1, 1, 250, 107, 100.0 * 107 / 250),
+    }
+
+
+def test_rate_of_an_empty_population_is_null(spark):
+    df = spark.createDataFrame([(0, 0), (0, 4), (1, 4)], "covered long, population long")
+    assert [r[0] for r in df.select(coverage_pct()).collect()] == [None, 0.0, 25.0]
+
+
+@pytest.mark.parametrize("time_type", ["timestamp", "timestamp_ntz", "date"])
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Pacific/Auckland"])
+def test_in_year_follows_year_in_any_zone(spark, conf, time_type, zone):
+    conf("spark.sql.session.timeZone", zone)
+    stamps = ["1995-12-31 23:59:59.999999", "1996-01-01 00:00:00", "1996-12-31 23:59:59.999999", "1997-01-01 00:00:00"]
+    df = spark.createDataFrame([(s,) for s in stamps] + [(None,)], "s string").select(
+        F.col("s").cast(time_type).alias("t")
+    )
+    got = df.select(in_year(df, "t", 1996).alias("in"), (F.year("t") == 1996).alias("same")).collect()
+    assert [r["in"] for r in got] == [False, True, True, False, None]
+    assert [r["in"] for r in got] == [r["same"] for r in got]
+
+
+def test_year_bounds_are_not_shifted_by_the_session_zone(spark, conf):
+    conf("spark.sql.session.timeZone", "America/Sao_Paulo")
+    df = spark.createDataFrame([(dt.datetime(1996, 1, 1, 0, 30),)], "t timestamp_ntz")
+    assert df.where(in_year(df, "t", 1996)).count() == 1
+    assert df.where(in_year(df, "t", 1995)).count() == 0

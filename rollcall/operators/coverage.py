@@ -82,35 +82,44 @@ def coverage_grid(
     period: str,
     event_subject: str | None = None,
     unique_subjects: bool = False,
+    span: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Coverage per group and period, with a row for every cell.
 
-    ``period`` is an integer column of ``events``. The grid runs over every period
-    from the first to the last in which anyone in the register was reached, also
-    those in which nobody was, so a cell without events has ``covered = 0`` and
-    neighbouring rows of a group are always one period apart.
+    ``period`` is an integer column of ``events``. The grid runs over every period of
+    ``span``, first and last included, or else from the first to the last period in
+    which anyone in the register was reached. It also holds the periods in which nobody
+    was, so a cell without events has ``covered = 0`` and neighbouring rows of a group
+    are always one period apart.
+
+    Without ``span`` Spark finds the bounds in the shuffle that counts the cells, unless
+    an input is persisted: then it counts them twice. ``span`` also keeps a stray date
+    from stretching the grid.
 
     Returns ``by..., period, population, covered, coverage_pct``.
     """
     members = _members(register, subject, by, unique_subjects)
+    placed = _placed(events, event_subject or subject, period)
+    if span is not None:
+        placed = placed.where(F.col(period).between(*span))
     # A set per subject, no longer than the grid has periods, where distinct (subject,
     # period) rows would have to be shuffled once more to be joined on the subject.
-    reached = (
-        _placed(events, event_subject or subject, period)
-        .groupBy(_REACHED)
-        .agg(F.collect_set(period).alias(_PERIODS))
-    )
+    reached = placed.groupBy(_REACHED).agg(F.collect_set(period).alias(_PERIODS))
     covered = (
         members.join(reached, F.col(_SUBJECT) == F.col(_REACHED))
         .select(*by, F.explode(_PERIODS).alias(period))
         .groupBy(*by, period)
         .agg(F.count(F.lit(1)).alias("covered"))
     )
-    # Reading the bounds off the counted cells, counts included, makes this subquery
-    # the same plan as the branch below, up to their shuffle. Spark then runs it once.
-    held = F.when(F.col("covered") > 0, F.col(period))
-    first = covered.agg(F.min(held)).scalar()
-    last = covered.agg(F.max(held)).scalar()
+    if span is not None:
+        period_type = events.schema[period].dataType
+        first, last = (F.lit(bound).cast(period_type) for bound in span)
+    else:
+        # Reading the bounds off the counted cells, counts included, makes this subquery
+        # the same plan as the branch below, up to their shuffle. Spark runs it once.
+        held = F.when(F.col("covered") > 0, F.col(period))
+        first = covered.agg(F.min(held)).scalar()
+        last = covered.agg(F.max(held)).scalar()
 
     cells = (
         members.groupBy(*by)

@@ -17,6 +17,9 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # The skew tests look stages up after the fact.
+        .config("spark.ui.retainedStages", "100000")
+        .config("spark.ui.retainedTasks", "1000000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

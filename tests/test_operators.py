@@ -109,6 +109,45 @@ def test_grid_without_events_is_empty(register, events):
     assert coverage_grid(register.limit(0), events, **args).collect() == []
 
 
+@pytest.mark.parametrize("span", [(2000, 2003), (2001, 2002), (1998, 2004), (2003, 2003)])
+def test_grid_of_a_given_span(register, events, span):
+    got = coverage_grid(
+        register, events, subject="id", by=["grp"], period="yr", event_subject="who", span=span
+    )
+    assert dict(got.dtypes)["yr"] == "int"
+    cells = grid_rows(got)
+    assert len(cells) == 4 * (span[1] - span[0] + 1)
+    found = brute.grid(REGISTER, EVENTS)
+    population = {group: n for (group, _), (n, _) in found.items()}
+    assert cells == {
+        (group, year): found.get((group, year), (population[group], 0)) for group, year in cells
+    }
+
+
+def test_grid_of_a_given_span_without_events(register, events):
+    got = coverage_grid(
+        register, events.limit(0), subject="id", by=["grp"], period="yr", event_subject="who",
+        span=(2000, 2001),
+    )
+    assert grid_rows(got) == {
+        (group, year): (n, 0)
+        for group, n in {"a": 2, "b": 2, None: 2, "c": 1}.items()
+        for year in (2000, 2001)
+    }
+
+
+@pytest.mark.parametrize("persisted", ["register", "events", "both"])
+def test_grid_of_persisted_inputs(register, events, persisted):
+    r = register.select("*").persist() if persisted != "events" else register
+    e = events.select("*").persist() if persisted != "register" else events
+    try:
+        got = coverage_grid(r, e, subject="id", by=["grp"], period="yr", event_subject="who")
+        assert grid_rows(got) == brute.grid(REGISTER, EVENTS)
+    finally:
+        r.unpersist()
+        e.unpersist()
+
+
 def test_grid_takes_wide_periods(spark):
     register = spark.createDataFrame([(1, "a")], "id long, grp string")
     far = 3_000_000_000

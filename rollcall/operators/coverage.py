@@ -118,8 +118,8 @@ def coverage_grid(
         # Reading the bounds off the counted cells, counts included, makes this subquery
         # the same plan as the branch below, up to their shuffle. Spark runs it once.
         held = F.when(F.col("covered") > 0, F.col(period))
-        first = covered.agg(F.min(held)).scalar()
-        last = covered.agg(F.max(held)).scalar()
+        bounds = covered.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
+        first, last = bounds["first"], bounds["last"]
 
     cells = (
         members.groupBy(*by)

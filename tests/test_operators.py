@@ -76,6 +76,15 @@ def test_by_several_columns_and_subject_of_the_same_name(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 7, 1, 0, 0.0), ("a", 8, 2, 1, 50.0)}
 
 
+def test_by_nothing_is_the_whole_register(register, events):
+    args = dict(subject="id", by=[], event_subject="who")
+    whole = [(s, "all") for s in {s for s, _ in REGISTER}]
+    got = coverage_by_group(register.select("id"), events, **args).collect()
+    assert [(r["population"], r["covered"]) for r in got] == [brute.by_group(whole, [s for s, _ in EVENTS])["all"]]
+    cells = coverage_grid(register.select("id"), events, period="yr", **args).collect()
+    assert {("all", r["yr"]): (r["population"], r["covered"]) for r in cells} == brute.grid(whole, EVENTS)
+
+
 def test_subject_may_be_a_group_column(spark):
     register = spark.createDataFrame([(1,), (2,)], "id long")
     events = spark.createDataFrame([(2,)], "id long")

@@ -121,19 +121,22 @@ def coverage_grid(
         bounds = covered.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
         first, last = bounds["first"], bounds["last"]
 
-    cells = (
-        members.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("population"))
-        .select(*by, F.explode(F.sequence(first, last)).alias(period), "population")
-    )
-    # Both sides hold at most one row per cell. Adding them up treats null groups as
-    # any other and needs one shuffle, where an outer join needs two.
-    zero = F.lit(0).cast("long")
+    # Per group its population, standing for all periods, and its counted cells. These
+    # are brought together by group before the population is spread over the periods,
+    # which moves the fewest rows and leaves the grid placed for windows over a group.
+    # Adding up, unlike an outer join, treats null groups as any other.
+    population = members.groupBy(*by).agg(F.count(F.lit(1)).alias("population"))
+    counts = population.unionByName(covered, allowMissingColumns=True)
+    if by:
+        counts = counts.repartition(*by)
+    periods = F.when(F.col(period).isNull(), F.sequence(first, last)).otherwise(F.array(period))
     return (
-        cells.withColumn("covered", zero)
-        .unionByName(covered.withColumn("population", zero))
+        counts.select(*by, F.explode(periods).alias(period), "population", "covered")
         .groupBy(*by, period)
-        .agg(F.sum("population").alias("population"), F.sum("covered").alias("covered"))
+        .agg(
+            F.sum("population").alias("population"),
+            F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"),
+        )
         .withColumn("coverage_pct", coverage_pct())
     )
 

@@ -65,6 +65,16 @@ def test_plans(plans):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in plans[ROLLUP]
 
 
+def test_change_moves_nothing_beyond_its_grid(plans):
+    """The grid comes placed by group, which is what the window needs."""
+    for name in (GRID, CHANGE):
+        assert plans[name].count("REPARTITION_BY_COL") == 1
+    assert plans[CHANGE].count("Exchange") == plans[GRID].count("Exchange")
+    # Nothing is shuffled once the populations are spread over the periods.
+    after = plans[CHANGE].split("Generate explode(CASE")[0]
+    assert "Exchange" not in after
+
+
 def test_events_are_shuffled_once(plans):
     """Events move by subject only, and arrive placed for the join."""
     for name in (LABELS, GRID, ROLLUP, CHANGE):

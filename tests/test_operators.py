@@ -157,6 +157,29 @@ def test_grid_of_persisted_inputs(register, events, persisted):
         e.unpersist()
 
 
+@pytest.mark.parametrize("id_type", ["int", "string", "decimal(20,0)", "struct<a: int, b: string>"])
+def test_subjects_of_any_type(spark, register, events, id_type):
+    def typed(column):
+        if id_type.startswith("struct"):
+            fields = F.struct(column.cast("int").alias("a"), F.lit("x").alias("b"))
+            return F.when(column.isNotNull(), fields)
+        return column.cast(id_type)
+
+    args = dict(subject="id", by=["grp"], event_subject="who")
+    r = register.withColumn("id", typed(F.col("id")))
+    e = events.withColumn("who", typed(F.col("who")))
+    assert by_group_rows(coverage_by_group(r, e, **args)) == brute.by_group(
+        REGISTER, [s for s, _ in EVENTS]
+    )
+    assert grid_rows(coverage_grid(r, e, period="yr", **args)) == brute.grid(REGISTER, EVENTS)
+
+
+def test_subjects_of_unlike_integer_types(spark, register, events):
+    args = dict(subject="id", by=["grp"], event_subject="who")
+    narrow = events.withColumn("who", F.col("who").cast("smallint"))
+    assert grid_rows(coverage_grid(register, narrow, period="yr", **args)) == brute.grid(REGISTER, EVENTS)
+
+
 def test_grid_takes_wide_periods(spark):
     register = spark.createDataFrame([(1, "a")], "id long, grp string")
     far = 3_000_000_000

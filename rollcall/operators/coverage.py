@@ -27,6 +27,7 @@ from rollcall.functions.rates import coverage_pct
 _SUBJECT = "__subject"
 _REACHED = "__reached"
 _PERIODS = "__periods"
+_TALLY = "__tally"
 
 
 def _members(register: DataFrame, subject: str, by: Sequence[str], unique_subjects: bool) -> DataFrame:
@@ -105,34 +106,42 @@ def coverage_grid(
     # A set per subject, no longer than the grid has periods, where distinct (subject,
     # period) rows would have to be shuffled once more to be joined on the subject.
     reached = placed.groupBy(_REACHED).agg(F.collect_set(period).alias(_PERIODS))
-    covered = (
-        members.join(reached, F.col(_SUBJECT) == F.col(_REACHED))
-        .select(*by, F.explode(_PERIODS).alias(period))
+    # Every member gives a row without a period, which counts towards the population, and
+    # one for each period it was reached in: both counts come from one pass.
+    null_period = F.lit(None).cast(events.schema[period].dataType)
+    own_periods = F.concat(F.array(null_period), F.coalesce(_PERIODS, F.array()))
+    tallies = (
+        members.join(reached, F.col(_SUBJECT) == F.col(_REACHED), "left")
+        .select(*by, F.explode(own_periods).alias(period))
         .groupBy(*by, period)
-        .agg(F.count(F.lit(1)).alias("covered"))
+        .agg(F.count(F.lit(1)).alias(_TALLY))
     )
     if span is not None:
         period_type = events.schema[period].dataType
         first, last = (F.lit(bound).cast(period_type) for bound in span)
     else:
-        # Reading the bounds off the counted cells, counts included, makes this subquery
-        # the same plan as the branch below, up to their shuffle. Spark runs it once.
-        held = F.when(F.col("covered") > 0, F.col(period))
-        bounds = covered.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
+        # Reading the bounds off the tallies, counts included, makes this subquery the
+        # same plan as the query itself, up to their shuffle. Spark runs it once.
+        held = F.when(F.col(_TALLY) > 0, F.col(period))
+        bounds = tallies.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
         first, last = bounds["first"], bounds["last"]
 
-    # Per group its population, standing for all periods, and its counted cells. These
-    # are brought together by group before the population is spread over the periods,
-    # which moves the fewest rows and leaves the grid placed for windows over a group.
-    # Adding up, unlike an outer join, treats null groups as any other.
-    population = members.groupBy(*by).agg(F.count(F.lit(1)).alias("population"))
-    counts = population.unionByName(covered, allowMissingColumns=True)
+    # Tallies are brought together by group before its population is spread over all
+    # periods, which moves the fewest rows and leaves the grid placed for windows over a
+    # group. Adding up, unlike an outer join, treats null groups as any other.
     if by:
-        counts = counts.repartition(*by)
-    periods = F.when(F.col(period).isNull(), F.sequence(first, last)).otherwise(F.array(period))
+        tallies = tallies.repartition(*by)
+    is_population = F.col(period).isNull()
+    cells = tallies.select(
+        *by,
+        F.explode(
+            F.when(is_population, F.sequence(first, last)).otherwise(F.array(period))
+        ).alias(period),
+        F.when(is_population, F.col(_TALLY)).alias("population"),
+        F.when(~is_population, F.col(_TALLY)).alias("covered"),
+    )
     return (
-        counts.select(*by, F.explode(periods).alias(period), "population", "covered")
-        .groupBy(*by, period)
+        cells.groupBy(*by, period)
         .agg(
             F.sum("population").alias("population"),
             F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"),

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.chat import formatted_digests
+from rollcall.llm.line_windows import without_repeated_windows
 from rollcall.llm.mixing import mix_counts
 from rollcall.llm.packing import pack
+from rollcall.llm.quality import quality_report
 from rollcall.llm.token_prefix import token_counts
 
 
@@ -22,11 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted and read back."""
+    return formatted_digests(spark, table(spark, sf_dir, "conversations"))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict for every document."""
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later occurrences of three-line windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeated_windows(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they are more than 4096."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -38,9 +57,83 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CHAT_SQL = r"""
+    WITH rows AS (
+        SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+        UNION ALL
+        SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL
+        SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    written AS (
+        SELECT conv_id, turn, role, text,
+               replace(replace(replace(replace(replace(replace(
+                   text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'),
+                   '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '[ANS]', '[\ANS]') AS body,
+               replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C'), '[', '%5B') AS head
+        FROM rows
+    )
+    SELECT conv_id,
+           CAST(COUNT(*) AS BIGINT) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(SUM(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+           CAST(SUM(length(CASE WHEN role = 'assistant'
+               THEN '<s>[ANS] ' || head || chr(10) || body || '</s>'
+               ELSE '<s>[INST] ' || head || chr(10) || body || '[/INST]' END)) AS BIGINT) AS formatted_chars
+    FROM written
+    GROUP BY conv_id
+"""
+
+_LINES_SQL = """
+    WITH lines AS (
+        SELECT doc_id,
+               UNNEST(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, pos,
+               line || chr(10) || LEAD(line) OVER doc || chr(10) || LEAD(line, 2) OVER doc AS three
+        FROM lines
+        WINDOW doc AS (PARTITION BY doc_id ORDER BY pos)
+    ),
+    ranked AS (
+        SELECT doc_id, pos, ROW_NUMBER() OVER (PARTITION BY three ORDER BY doc_id, pos) AS nth
+        FROM windows
+        WHERE three IS NOT NULL
+    ),
+    covered AS (
+        SELECT DISTINCT doc_id, pos + i AS pos
+        FROM ranked
+        JOIN (VALUES (0), (1), (2)) AS steps(i) ON nth > 1
+    ),
+    kept AS (
+        SELECT l.doc_id,
+               COUNT(*) AS n_lines,
+               COUNT(c.pos) AS n_removed,
+               string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL) AS text
+        FROM lines l
+        LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.pos = l.pos
+        GROUP BY l.doc_id
+    )
+    SELECT d.doc_id,
+           CAST(COALESCE(n_lines, 0) AS INTEGER) AS n_lines,
+           CAST(COALESCE(n_removed, 0) AS INTEGER) AS n_removed,
+           CASE WHEN d.text IS NULL THEN NULL ELSE COALESCE(k.text, '') END AS text
+    FROM documents d
+    LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": _CHAT_SQL,
+    "op7_line_dedup": _LINES_SQL,
+}

@@ -10,6 +10,7 @@ from rollcall.llm.chat import formatted_digests
 from rollcall.llm.line_windows import without_repeated_windows
 from rollcall.llm.mixing import mix_counts
 from rollcall.llm.packing import pack
+from rollcall.llm.probminhash import near_duplicates
 from rollcall.llm.quality import quality_report
 from rollcall.llm.token_prefix import token_counts
 
@@ -35,6 +36,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -59,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,

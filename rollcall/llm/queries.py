@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.chat import formatted_digests
 from rollcall.llm.line_windows import without_repeated_windows
 from rollcall.llm.mixing import mix_counts
+from rollcall.llm.multi_index import near_vectors
 from rollcall.llm.packing import pack
 from rollcall.llm.probminhash import near_duplicates
 from rollcall.llm.quality import quality_report
@@ -46,6 +47,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later occurrences of three-line windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,

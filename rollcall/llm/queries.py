@@ -13,6 +13,7 @@ from rollcall.llm.multi_index import near_vectors
 from rollcall.llm.packing import pack
 from rollcall.llm.probminhash import near_duplicates
 from rollcall.llm.quality import quality_report
+from rollcall.llm.suffix_family import repeats_removed
 from rollcall.llm.token_prefix import token_counts
 
 
@@ -58,6 +59,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_windows(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated strings of 50 bytes leaves of every document."""
+    return repeats_removed(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they are more than 4096."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.chat import formatted_digests
+from rollcall.llm.html_tree import extracted
 from rollcall.llm.line_windows import without_repeated_windows
 from rollcall.llm.mixing import mix_counts
 from rollcall.llm.multi_index import near_vectors
@@ -38,6 +39,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -77,6 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,

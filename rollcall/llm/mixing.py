@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rollcall.llm.scratch import written
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCKS_PER_SOURCE = 8192
@@ -120,11 +122,12 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix_plan(rows: DataFrame, *, seed: int = SEED) -> DataFrame:
+def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataFrame:
     """Which words of every row the mix takes.
 
-    ``rows`` has ``source`` and ``size`` and may have any other columns but those named
-    here. Sources are ordered by code point, null last, and weigh 5, 2, 1 in turn. Rows
+    ``rows`` has ``source``, ``size``, ``row_hash`` and ``order_id``, and may have any other
+    columns but those named here; ``sizes_of`` has the first three for the same rows, and is
+    read several times. Sources are ordered by code point, null last, and weigh 5, 2, 1 in turn. Rows
     without words are returned with nothing taken. Rows of equal ids are rows like others.
 
     Returns the columns of ``rows`` and ``source_size`` long, ``target`` double,
@@ -137,7 +140,7 @@ def mix_plan(rows: DataFrame, *, seed: int = SEED) -> DataFrame:
     third of all rows has as many buckets as it has rows for.
     """
     spark = rows.sparkSession
-    per_source = rows.groupBy("source").agg(
+    per_source = sizes_of.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
     )
     # One row per source, never per document.
@@ -160,12 +163,15 @@ def mix_plan(rows: DataFrame, *, seed: int = SEED) -> DataFrame:
         "source_no int, src string, source_size long, target double, block_words long, n_buckets long",
     )
 
-    dealt = (
-        rows.join(facts, F.col("source").eqNullSafe(F.col("src")))
-        .withColumn("bucket", F.pmod(F.col("row_hash"), F.col("n_buckets")))
-        .drop("src", "n_buckets")
-    )
-    per_bucket = dealt.groupBy("source_no", "bucket").agg(
+    def deal(some: DataFrame) -> DataFrame:
+        return (
+            some.join(facts, F.col("source").eqNullSafe(F.col("src")))
+            .withColumn("bucket", F.pmod(F.col("row_hash"), F.col("n_buckets")))
+            .drop("src", "n_buckets")
+        )
+
+    dealt = deal(rows)
+    per_bucket = deal(sizes_of).groupBy("source_no", "bucket").agg(
         F.sum("size").alias("bucket_size"), F.first("block_words").alias("block_words")
     )
     along = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -271,7 +277,9 @@ def mix_counts(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
 
     Returns ``doc_id, size, source_size, target, taken``.
     """
-    plan = mix_plan(_rows(docs, "doc_id"), seed=seed)
+    # Words are counted once; what is written is a few numbers per document.
+    rows = written(_rows(docs, "doc_id"), "sizes")
+    plan = mix_plan(rows, rows, seed=seed)
     taken = F.when(F.col("size") > 0, F.expr(_OVERLAP)).otherwise(F.lit(0)).cast("long")
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
@@ -316,7 +324,8 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     names = docs.columns
     # Any column may share a name with those of the plan.
     keep = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("__row")
-    plan = mix_plan(_rows(docs, keep, F.col("text").alias("__text")), seed=seed)
+    sizes_of = written(_rows(docs), "sizes")
+    plan = mix_plan(_rows(docs, keep, F.col("text").alias("__text")), sizes_of, seed=seed)
     taken = plan.where((F.col("size") > 0) & (F.array_max("uses") > 0)).select(
         "__row", "__text", "size", "uses", "block_words", "word_from", "first_block"
     )

@@ -1,13 +1 @@
-from rollcall.operators.coverage import (
-    coverage_by_group,
-    coverage_change,
-    coverage_grid,
-    coverage_rollup,
-)
-
-__all__ = [
-    "coverage_by_group",
-    "coverage_change",
-    "coverage_grid",
-    "coverage_rollup",
-]
+"""The operators; ``rollcall`` exports them."""

@@ -8,10 +8,11 @@ number of them. In each group,
     covered      = those of them with at least one event
     coverage_pct = 100 * covered / population
 
-Events are reduced to one row per subject before any join. The reduction starts on
-the map side, so a subject holding a large share of all events costs each task one
-row, and it leaves the rows placed as the join needs them: events are shuffled once,
-and the join key occurs once on their side.
+A register row without a subject counts nobody, but a group that has only such rows is
+still a group, with a population of 0 and no rate.
+
+Events are reduced before any join, starting on the map side, so a subject holding a large
+share of all events costs each task one row, or one for each block of periods.
 """
 
 from __future__ import annotations
@@ -19,16 +20,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rollcall.functions.rates import coverage_pct
 
+COUNTS = ("population", "covered", "coverage_pct")
+CHANGES = ("previous_pct", "change_pct_points")
+
 # Internal names, out of the way of the caller's columns.
 _SUBJECT = "__subject"
 _REACHED = "__reached"
-_PERIODS = "__periods"
+_BLOCK = "__block"
+_MASK = "__mask"
+_PLACED = "__placed"
 _TALLY = "__tally"
 
+# Periods of a block, one bit each, and of a run spread out from one array.
+_BLOCK_BITS = 6
+_RUN = 1 << 16
+
+
+def _apart(*names: str) -> None:
+    """Fail where two columns of a result would have one name."""
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"column names would occur twice in the result: {', '.join(twice)}")
+
 
 def _members(register: DataFrame, subject: str, by: Sequence[str], unique_subjects: bool) -> DataFrame:
     """The register cut down to its subject and group columns."""
@@ -36,7 +52,7 @@ def _members(register: DataFrame, subject: str, by: Sequence[str], unique_subjec
     return members if unique_subjects else members.distinct()
 
 
-def _placed(events: DataFrame, event_subject: str, *cols: str) -> DataFrame:
+def _placed(events: DataFrame, event_subject: str, *cols: Column) -> DataFrame:
     """The events cut down to subject and ``cols``, less those missing either.
 
     An event without a subject or a period belongs to no member or no cell.
@@ -56,18 +72,20 @@ def coverage_by_group(
 ) -> DataFrame:
     """Coverage per group of the register.
 
-    ``unique_subjects=True`` states that no subject occurs twice in the register,
-    which saves the shuffle that would remove repeats.
+    ``unique_subjects=True`` states that no subject occurs twice in the register, which
+    saves the shuffle that would remove repeats. It is not checked; rows without a subject
+    may repeat.
 
     Returns ``by..., population, covered, coverage_pct``.
     """
+    _apart(*by, *COUNTS)
     members = _members(register, subject, by, unique_subjects)
     reached = _placed(events, event_subject or subject).distinct()
     return (
         members.join(reached, F.col(_SUBJECT) == F.col(_REACHED), "left")
         .groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("population"),
+            F.count(_SUBJECT).alias("population"),
             F.count(_REACHED).alias("covered"),
         )
         .withColumn("coverage_pct", coverage_pct())
@@ -95,50 +113,77 @@ def coverage_grid(
 
     Without ``span`` Spark finds the bounds in the shuffle that counts the cells, unless
     an input is persisted: then it counts them twice. ``span`` also keeps a stray date
-    from stretching the grid.
+    from stretching the grid. Neither a subject's periods nor the grid's are ever held in
+    one row.
 
     Returns ``by..., period, population, covered, coverage_pct``.
     """
+    period_type = events.schema[period].dataType
+    if not isinstance(period_type, T.IntegralType):
+        raise TypeError(f"period {period!r} is {period_type.simpleString()}, not an integer")
+    _apart(*by, period, *COUNTS)
+    if span is not None and span[0] > span[1]:
+        raise ValueError(f"span ends before it starts: {span}")
+
     members = _members(register, subject, by, unique_subjects)
-    placed = _placed(events, event_subject or subject, period)
+    placed = _placed(events, event_subject or subject, F.col(period).cast("long").alias(_PLACED))
     if span is not None:
-        placed = placed.where(F.col(period).between(*span))
-    # A set per subject, no longer than the grid has periods, where distinct (subject,
-    # period) rows would have to be shuffled once more to be joined on the subject.
-    reached = placed.groupBy(_REACHED).agg(F.collect_set(period).alias(_PERIODS))
-    # Every member gives a row without a period, which counts towards the population, and
-    # one for each period it was reached in: both counts come from one pass.
-    null_period = F.lit(None).cast(events.schema[period].dataType)
-    own_periods = F.concat(F.array(null_period), F.coalesce(_PERIODS, F.array()))
+        placed = placed.where(F.col(_PLACED).between(*span))
+    # A bit for each period a subject was reached in, one row for each block it has any in.
+    reached = placed.groupBy(_REACHED, F.shiftright(_PLACED, _BLOCK_BITS).alias(_BLOCK)).agg(
+        F.expr(f"bit_or(shiftleft(1L, CAST({_PLACED} & {(1 << _BLOCK_BITS) - 1} AS INT)))").alias(_MASK)
+    )
+    # Every member gives a row without a block, which counts towards the population, and
+    # one for each of its blocks: both counts come from one pass.
+    twice = members.withColumn(_PLACED, F.explode(F.array(F.lit(False), F.lit(True))))
+    on = (F.col(_SUBJECT) == F.col(_REACHED)) & F.col(_PLACED)
     tallies = (
-        members.join(reached, F.col(_SUBJECT) == F.col(_REACHED), "left")
-        .select(*by, F.explode(own_periods).alias(period))
-        .groupBy(*by, period)
-        .agg(F.count(F.lit(1)).alias(_TALLY))
+        twice.join(reached, on, "left")
+        .where(~F.col(_PLACED) | F.col(_BLOCK).isNotNull())
+        .groupBy(*by, _BLOCK, _MASK)
+        .agg(F.count(_SUBJECT).alias(_TALLY))
     )
     if span is not None:
-        period_type = events.schema[period].dataType
-        first, last = (F.lit(bound).cast(period_type) for bound in span)
+        first, last = (F.lit(bound).cast("long") for bound in span)
     else:
         # Reading the bounds off the tallies, counts included, makes this subquery the
         # same plan as the query itself, up to their shuffle. Spark runs it once.
-        held = F.when(F.col(_TALLY) > 0, F.col(period))
-        bounds = tallies.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
+        held = F.when(F.col(_TALLY) > 0, F.shiftleft(_BLOCK, _BLOCK_BITS))
+        lowest = F.instr(F.reverse(F.bin(_MASK)), "1") - 1
+        highest = F.length(F.bin(_MASK)) - 1
+        bounds = tallies.agg(
+            F.struct(F.min(held + lowest).alias("first"), F.max(held + highest).alias("last"))
+        ).scalar()
         first, last = bounds["first"], bounds["last"]
 
-    # Tallies are brought together by group before its population is spread over all
-    # periods, which moves the fewest rows and leaves the grid placed for windows over a
-    # group. Adding up, unlike an outer join, treats null groups as any other.
+    # Tallies are brought together by group before they are spread over periods, which
+    # moves the fewest rows and leaves the grid placed for windows over a group. Adding
+    # up, unlike an outer join, treats null groups as any other.
     if by:
         tallies = tallies.repartition(*by)
-    is_population = F.col(period).isNull()
-    cells = tallies.select(
-        *by,
-        F.explode(
-            F.when(is_population, F.sequence(first, last)).otherwise(F.array(period))
-        ).alias(period),
-        F.when(is_population, F.col(_TALLY)).alias("population"),
-        F.when(~is_population, F.col(_TALLY)).alias("covered"),
+    is_population = F.col(_BLOCK).isNull()
+    bits = F.sequence(F.lit(0), F.lit((1 << _BLOCK_BITS) - 1))
+    set_bits = F.filter(bits, lambda i: F.getbit(_MASK, i) == 1)
+    starts = F.when(is_population, F.sequence(first, last, F.lit(_RUN).cast("long"))).otherwise(
+        F.array(F.shiftleft(_BLOCK, _BLOCK_BITS))
+    )
+    in_run = F.sequence(F.col(_PLACED), F.col(_PLACED) + F.least(last - F.col(_PLACED), F.lit(_RUN - 1)))
+    cells = (
+        tallies.withColumn(_PLACED, F.explode(starts))
+        .withColumn(
+            period,
+            F.explode(
+                F.when(is_population, in_run)
+                .otherwise(F.transform(set_bits, lambda i: F.col(_PLACED) + i))
+                .cast(T.ArrayType(period_type))
+            ),
+        )
+        .select(
+            *by,
+            period,
+            F.when(is_population, F.col(_TALLY)).alias("population"),
+            F.when(~is_population, F.col(_TALLY)).alias("covered"),
+        )
     )
     return (
         cells.groupBy(*by, period)
@@ -155,11 +200,14 @@ def coverage_rollup(coverage: DataFrame, *, levels: Sequence[str]) -> DataFrame:
 
     Counts are added and the rate is taken after; rates are never averaged. Give it
     counts that are already per group: rollup copies each input row once per level.
+    A total therefore counts a subject once for each group it is in. It is a number of
+    distinct subjects only if every subject is in one group.
     ``all_<level>`` is 1 where a row is a total over that level, which tells a total
     from a group whose name is null.
 
     Returns ``levels..., all_<level>..., population, covered, coverage_pct``.
     """
+    _apart(*levels, *(f"all_{level}" for level in levels), *COUNTS)
     return (
         coverage.rollup(*levels)
         .agg(
@@ -174,14 +222,16 @@ def coverage_rollup(coverage: DataFrame, *, levels: Sequence[str]) -> DataFrame:
 def coverage_change(grid: DataFrame, *, by: Sequence[str], period: str) -> DataFrame:
     """Each row of a coverage grid beside the same group's previous period.
 
-    Takes what ``coverage_grid`` returns, in which a group's rows are one period
-    apart. A window partition holds one group's periods, however many subjects the
-    group has.
+    Takes what ``coverage_grid`` returns, or a part of it. A window partition holds one
+    group's periods, however many subjects the group has.
 
-    Returns the grid's columns, ``previous_pct`` and ``change_pct_points``, both
-    null in a group's first period.
+    Returns the grid's columns, ``previous_pct`` and ``change_pct_points``, both null
+    where the period before is not in the grid.
     """
-    before = F.lag("coverage_pct").over(Window.partitionBy(*by).orderBy(period))
+    _apart(*grid.columns, *CHANGES)
+    in_order = Window.partitionBy(*by).orderBy(period)
+    is_next = F.lag(period).over(in_order) == F.col(period) - 1
+    before = F.when(is_next, F.lag("coverage_pct").over(in_order))
     return grid.withColumn("previous_pct", before).withColumn(
         "change_pct_points", F.col("coverage_pct") - F.col("previous_pct")
     )

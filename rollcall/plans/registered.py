@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.functions.periods import in_year
+from rollcall.functions.periods import in_year, in_years
 from rollcall.operators.coverage import (
     coverage_by_group,
     coverage_change,
@@ -20,6 +20,7 @@ from rollcall.operators.coverage import (
 from rollcall.sources.tables import read_table
 
 ROLLUP_YEAR = 1996
+GIVEN_YEARS = (1996, 1998)
 
 
 def label_coverage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +48,30 @@ def order_coverage_by_nation_and_year(spark: SparkSession, sf_dir: str) -> DataF
     )
 
 
-def order_coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_coverage_of_given_years(
+    spark: SparkSession, sf_dir: str, years: tuple[int, int] = GIVEN_YEARS
+) -> DataFrame:
+    """The grid of some years, in which a nation without orders still has a row."""
+    orders = read_table(spark, sf_dir, "orders")
+    chosen = orders.where(in_years(orders, "o_orderdate", *years))
+    return coverage_grid(
+        read_table(spark, sf_dir, "customer"),
+        chosen.withColumn("order_year", F.year("o_orderdate")),
+        subject="c_custkey",
+        by=["c_nationkey"],
+        period="order_year",
+        event_subject="o_custkey",
+        unique_subjects=True,
+        span=years,
+    )
+
+
+def order_coverage_rollup(spark: SparkSession, sf_dir: str, year: int = ROLLUP_YEAR) -> DataFrame:
     """One year's order coverage by nation, by region and in total."""
     orders = read_table(spark, sf_dir, "orders")
     nations = coverage_by_group(
         read_table(spark, sf_dir, "customer"),
-        orders.where(in_year(orders, "o_orderdate", ROLLUP_YEAR)),
+        orders.where(in_year(orders, "o_orderdate", year)),
         subject="c_custkey",
         by=["c_nationkey"],
         event_subject="o_custkey",
@@ -79,11 +98,14 @@ def order_coverage_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_coverage_by_language": label_coverage_by_language,
     "order_coverage_by_nation_and_year": order_coverage_by_nation_and_year,
+    "order_coverage_of_given_years": order_coverage_of_given_years,
     "order_coverage_rollup": order_coverage_rollup,
     "order_coverage_change": order_coverage_change,
 }
 
-_GRID_SQL = """
+def _grid_sql(periods: str) -> str:
+    """The grid as SQL, given the query that names its periods."""
+    return f"""
     WITH units AS (
         SELECT c_nationkey, COUNT(DISTINCT c_custkey) AS population
         FROM customer
@@ -96,8 +118,7 @@ _GRID_SQL = """
         WHERE o_orderdate IS NOT NULL
     ),
     periods AS (
-        SELECT UNNEST(GENERATE_SERIES(MIN(order_year), MAX(order_year))) AS order_year
-        FROM placed
+        {periods}
     ),
     reached AS (
         SELECT c_nationkey, order_year, COUNT(DISTINCT c_custkey) AS covered
@@ -117,7 +138,10 @@ _GRID_SQL = """
                ON r.c_nationkey IS NOT DISTINCT FROM u.c_nationkey
               AND r.order_year = p.order_year
     )
-"""
+    """
+
+
+_GRID_SQL = _grid_sql("SELECT UNNEST(GENERATE_SERIES(MIN(order_year), MAX(order_year))) AS order_year FROM placed")
 
 ORACLE_SQL: dict[str, str] = {
     "label_coverage_by_language": """
@@ -138,6 +162,13 @@ ORACLE_SQL: dict[str, str] = {
     SELECT c_nationkey, order_year, population, covered, coverage_pct
     FROM grid
     """,
+    "order_coverage_of_given_years": _grid_sql(
+        f"SELECT UNNEST(GENERATE_SERIES({GIVEN_YEARS[0]}, {GIVEN_YEARS[1]})) AS order_year"
+    )
+    + """
+    SELECT c_nationkey, order_year, population, covered, coverage_pct
+    FROM grid
+    """,
     "order_coverage_rollup": f"""
     SELECT r_name, n_name, all_r_name, all_n_name, population, covered,
            CAST(100 AS DOUBLE) * CAST(covered AS DOUBLE)

@@ -1,9 +1,11 @@
 """Write enlarged copies of the given tables, to try the queries on more rows.
 
-    python scripts/enlarge.py SF_DIR OUT_DIR COPIES [--hot]
+    python scripts/enlarge.py SF_DIR OUT_DIR COPIES [--hot] [--scattered] [--tables NAME...]
 
 Each copy shifts the keys past the last copy's, so joins and rates stay as they were.
-``--hot`` gives every third order and every third label to one subject.
+``--hot`` gives every third order and every third label to one subject. ``--scattered``
+spreads every subject's rows over all files. ``--tables`` writes only those named, where
+the disk is short.
 """
 
 from __future__ import annotations
@@ -30,14 +32,10 @@ RANGE_OF = {"o_custkey": ("customer", "c_custkey"), "doc_id": ("documents", "doc
 HOT = {"orders": "o_custkey", "labels": "doc_id"}
 
 
-def enlarge(spark: SparkSession, sf_dir: str, name: str, copies: int, hot: bool) -> DataFrame:
+def enlarge(spark: SparkSession, sf_dir: str, name: str, copies: int, hot: bool, scattered: bool) -> DataFrame:
     table = read_table(spark, sf_dir, name)
     if name in SMALL:
         return table
-    if name == "documents":
-        # No query reads the texts; at many copies they would only fill the disk.
-        table = table.withColumn("text", F.lit(""))
-
     def shifted(key: str) -> Column:
         owner, owner_key = RANGE_OF.get(key, (name, key))
         span = read_table(spark, sf_dir, owner).agg(F.max(owner_key) + 1).first()[0]
@@ -53,7 +51,7 @@ def enlarge(spark: SparkSession, sf_dir: str, name: str, copies: int, hot: bool)
         key = HOT[name]
         other = KEYS[name][0]
         out = out.withColumn(key, F.when(F.xxhash64(other) % 3 == 0, F.lit(1)).otherwise(F.col(key)))
-    return out
+    return out.repartition(64, F.xxhash64(*KEYS[name], F.lit(1))) if scattered else out
 
 
 def main() -> None:
@@ -62,6 +60,8 @@ def main() -> None:
     args.add_argument("out_dir")
     args.add_argument("copies", type=int)
     args.add_argument("--hot", action="store_true")
+    args.add_argument("--scattered", action="store_true")
+    args.add_argument("--tables", nargs="+", choices=sorted(SCHEMAS), default=list(SCHEMAS))
     a = args.parse_args()
     spark = (
         SparkSession.builder.master("local[8]")
@@ -69,8 +69,8 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .getOrCreate()
     )
-    for name in SCHEMAS:
-        enlarge(spark, a.sf_dir, name, a.copies, a.hot).write.parquet(f"{a.out_dir}/{name}.parquet")
+    for name in a.tables:
+        enlarge(spark, a.sf_dir, name, a.copies, a.hot, a.scattered).write.parquet(f"{a.out_dir}/{name}.parquet")
     spark.stop()
 
 

@@ -12,7 +12,9 @@ def by_group(register, events):
     reached = {s for s in events if s is not None}
     members: dict = {}
     for subject, group in set(register):
-        members.setdefault(group, []).append(subject)
+        members.setdefault(group, [])
+        if subject is not None:
+            members[group].append(subject)
     return {
         group: (len(subjects), sum(s in reached for s in subjects))
         for group, subjects in members.items()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from rollcall import coverage_by_group, coverage_change, coverage_grid, coverage_rollup
-from rollcall.functions import coverage_pct, in_year
+from rollcall.functions import coverage_pct, in_year, in_years
 
 # Repeats a member, has one without a group and one without a subject.
 REGISTER = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (None, "b"), (6, "c")]
@@ -46,7 +46,7 @@ def grid_rows(df):
 def test_by_group(register, events):
     got = coverage_by_group(register, events, subject="id", by=["grp"], event_subject="who")
     assert got.columns == ["grp", "population", "covered", "coverage_pct"]
-    assert by_group_rows(got) == {"a": (2, 2), "b": (2, 1), None: (2, 1), "c": (1, 0)}
+    assert by_group_rows(got) == {"a": (2, 2), "b": (1, 1), None: (2, 1), "c": (1, 0)}
     assert by_group_rows(got) == brute.by_group(REGISTER, [s for s, _ in EVENTS])
 
 
@@ -96,7 +96,7 @@ def test_no_events(register, events):
     got = coverage_by_group(
         register, events.limit(0), subject="id", by=["grp"], event_subject="who"
     )
-    assert by_group_rows(got) == {"a": (2, 0), "b": (2, 0), None: (2, 0), "c": (1, 0)}
+    assert by_group_rows(got) == {"a": (2, 0), "b": (1, 0), None: (2, 0), "c": (1, 0)}
 
 
 def test_grid(register, events):
@@ -140,7 +140,7 @@ def test_grid_of_a_given_span_without_events(register, events):
     )
     assert grid_rows(got) == {
         (group, year): (n, 0)
-        for group, n in {"a": 2, "b": 2, None: 2, "c": 1}.items()
+        for group, n in {"a": 2, "b": 1, None: 2, "c": 1}.items()
         for year in (2000, 2001)
     }
 
@@ -208,7 +208,7 @@ def test_change(register, events):
         ("b", 2000): (None, None),
         ("b", 2001): (0.0, 0.0),
         ("b", 2002): (0.0, 0.0),
-        ("b", 2003): (0.0, 50.0),
+        ("b", 2003): (0.0, 100.0),
         ("c", 2000): (None, None),
         ("c", 2001): (0.0, 0.0),
         ("c", 2002): (0.0, 0.0),
@@ -220,6 +220,88 @@ def test_change(register, events):
     }
 
 
+def test_change_after_a_gap_is_null(register, events):
+    grid = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    part = coverage_change(grid.where("yr <> 2001"), by=["grp"], period="yr")
+    whole = coverage_change(grid, by=["grp"], period="yr")
+    rows = {(r["grp"], r["yr"]): r["previous_pct"] for r in part.collect()}
+    assert all(rows[g, 2002] is None for g in ("a", "b", "c", None))
+    assert {k: v for k, v in rows.items() if k[1] == 2003} == {
+        (r["grp"], r["yr"]): r["previous_pct"] for r in whole.where("yr = 2003").collect()
+    }
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_a_group_without_subjects_has_no_rate(spark, events, unique):
+    register = spark.createDataFrame([(None, "n"), (None, "n"), (1, "a")], "id long, grp string")
+    args = dict(subject="id", by=["grp"], event_subject="who", unique_subjects=unique)
+    assert by_group_rows(coverage_by_group(register, events, **args)) == {"n": (0, 0), "a": (1, 1)}
+    cells = grid_rows(coverage_grid(register, events, period="yr", **args))
+    assert {v for (g, _), v in cells.items() if g == "n"} == {(0, 0)}
+
+
+def test_rollup_totals_count_a_subject_once_per_group(spark, events):
+    """A total is of distinct subjects only where each is in one group."""
+    register = spark.createDataFrame([(1, "R", "x"), (1, "R", "y"), (2, "R", "y")], "id long, r string, g string")
+    units = coverage_by_group(register, events, subject="id", by=["r", "g"], event_subject="who")
+    total = coverage_rollup(units, levels=["r", "g"]).where("all_r = 1").collect()
+    assert [(t["population"], t["covered"]) for t in total] == [(3, 3)]
+
+
+@pytest.mark.parametrize(
+    "error, changes",
+    [
+        (ValueError, {"span": (2003, 2000)}),
+        (ValueError, {"by": ["grp", "yr"]}),
+        (ValueError, {"by": ["grp", "grp"]}),
+        (ValueError, {"by": ["population"]}),
+        (TypeError, {"period": "who_text"}),
+    ],
+)
+def test_wrong_arguments_fail_before_any_job(spark, register, events, error, changes):
+    texts = events.withColumn("who_text", F.col("who").cast("string"))
+    args = dict(subject="id", by=["grp"], period="yr", event_subject="who") | changes
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("refused", "refused")
+    try:
+        with pytest.raises(error):
+            coverage_grid(register, texts, **args)
+        assert list(tracker.getJobIdsForGroup("refused")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_clashing_names_are_refused_by_all_operators(spark, register, events):
+    counts = spark.createDataFrame([("a", 1, 2, 3.0)], "covered string, x long, y long, previous_pct double")
+    with pytest.raises(ValueError, match="covered"):
+        coverage_by_group(register, events, subject="id", by=["covered"], event_subject="who")
+    with pytest.raises(ValueError, match="covered"):
+        coverage_rollup(counts, levels=["covered"])
+    with pytest.raises(ValueError, match="previous_pct"):
+        coverage_change(counts, by=["covered"], period="x")
+
+
+@pytest.mark.parametrize("period_type", ["tinyint", "smallint", "int", "bigint"])
+def test_periods_of_any_integer_type_and_sign(spark, period_type):
+    pairs = [(1, "a"), (2, "a")]
+    placed = [(1, p) for p in (-128, -65, -64, -1, 0, 63, 64, 127)] + [(2, 0)]
+    events = spark.createDataFrame(placed, "who long, yr int").withColumn("yr", F.col("yr").cast(period_type))
+    got = coverage_grid(
+        spark.createDataFrame(pairs, "id long, grp string"), events,
+        subject="id", by=["grp"], period="yr", event_subject="who",
+    )
+    assert dict(got.dtypes)["yr"] == period_type
+    assert grid_rows(got) == brute.grid(pairs, placed)
+
+
+def test_a_subject_with_very_many_periods(spark):
+    register = spark.createDataFrame([(1, "a")], "id long, grp string")
+    events = spark.range(300_000).select(F.lit(1).cast("long").alias("who"), (F.col("id") * 3).alias("yr"))
+    got = coverage_grid(register, events, subject="id", by=["grp"], period="yr", event_subject="who")
+    row = got.agg(F.count(F.lit(1)), F.sum("covered"), F.min("population"), F.max("yr")).first()
+    assert tuple(row) == (899_998, 300_000, 1, 899_997)
+
+
 def test_rollup_adds_counts_and_tells_totals_from_null_groups(spark):
     counts = [("N", "x", 10, 1), ("N", "y", 90, 81), ("S", None, 100, 0), (None, None, 50, 25)]
     coverage = spark.createDataFrame(counts, "region string, unit string, population long, covered long")
@@ -241,6 +323,13 @@ def test_rate_of_an_empty_population_is_null(spark):
     assert [r[0] for r in df.select(coverage_pct()).collect()] == [None, 0.0, 25.0]
 
 
+def test_in_years_takes_both_ends(spark):
+    df = spark.createDataFrame([(dt.date(y, m, d),) for y, m, d in ((1995, 12, 31), (1996, 1, 1), (1998, 12, 31), (1999, 1, 1))], "t date")
+    assert [r[0] for r in df.select(in_years(df, "t", 1996, 1998)).collect()] == [False, True, True, False]
+    with pytest.raises(ValueError):
+        in_years(df, "t", 1998, 1996)
+
+
 @pytest.mark.parametrize("time_type", ["timestamp", "timestamp_ntz", "date"])
 @pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Pacific/Auckland"])
 def test_in_year_follows_year_in_any_zone(spark, conf, time_type, zone):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ LABELS = "label_coverage_by_language"
 GRID = "order_coverage_by_nation_and_year"
 ROLLUP = "order_coverage_rollup"
 CHANGE = "order_coverage_change"
+GIVEN = "order_coverage_of_given_years"
 
 # Columns of every scan each query may make.
 SCANS = {
@@ -31,6 +34,10 @@ SCANS = {
         "nation": ["n_nationkey:int,n_name:string,n_regionkey:int"],
         "region": ["r_regionkey:int,r_name:string"],
     },
+    GIVEN: {
+        "customer": ["c_custkey:bigint,c_nationkey:int"],
+        "orders": ["o_custkey:bigint,o_orderdate:timestamp_ntz"],
+    },
     CHANGE: {
         "customer": ["c_custkey:bigint,c_nationkey:int"],
         "orders": ["o_custkey:bigint,o_orderdate:timestamp_ntz"],
@@ -60,28 +67,33 @@ def test_plans(plans):
     # Only those bounds, one row per task, are ever brought to one partition.
     assert plans[LABELS].count("SinglePartition") == plans[ROLLUP].count("SinglePartition") == 0
     assert plans[GRID].count("SinglePartition") == plans[CHANGE].count("SinglePartition") == 1
-    # The year reaches the scan.
+    assert plans[GIVEN].count("SinglePartition") == 0 and "ubquery" not in plans[GIVEN]
+    # The years reach the scan.
+    assert "LessThan(o_orderdate,1" in plans[GIVEN]
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in plans[GIVEN]
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in plans[ROLLUP]
 
 
 def test_change_moves_nothing_beyond_its_grid(plans):
     """The grid comes placed by group, which is what the window needs."""
-    for name in (GRID, CHANGE):
+    for name in (GRID, GIVEN, CHANGE):
         assert plans[name].count("REPARTITION_BY_COL") == 1
     assert plans[CHANGE].count("Exchange") == plans[GRID].count("Exchange")
     # Nothing is shuffled once the populations are spread over the periods.
-    after = plans[CHANGE].split("Generate explode(CASE")[0]
+    after = plans[CHANGE].split("Generate explode(")[0]
     assert "Exchange" not in after
 
 
-def test_events_are_shuffled_once(plans):
-    """Events move by subject only, and arrive placed for the join."""
-    for name in (LABELS, GRID, ROLLUP, CHANGE):
-        by_subject = [
-            line for line in plans[name].splitlines()
-            if " Exchange hashpartitioning(__reached" in line
-        ]
-        assert len(by_subject) == 1, name
+def test_events_are_reduced_before_they_move(plans):
+    """Events move once as they are read, after a reduction within each task."""
+    for name in (LABELS, GRID, GIVEN, ROLLUP, CHANGE):
+        lines = plans[name].splitlines()
+        at = [i for i, line in enumerate(lines) if " Exchange hashpartitioning(__reached" in line]
+        # By subject and block first where there are periods, and then to the members.
+        first = at[-1]
+        assert len(at) <= (1 if name in (LABELS, ROLLUP) else 2), name
+        assert "HashAggregate" in lines[first + 1], name
+        assert "ObjectHashAggregate" not in plans[name] and "SortAggregate" not in plans[name], name
 
 
 def test_grid_of_a_given_span_looks_nothing_up(spark, conf):
@@ -105,10 +117,11 @@ def test_grid_counts_once_on_other_inputs(spark, conf, tmp_path, adaptive, uniqu
     customer = read_table(spark, SF_DIR, "customer")
     orders = read_table(spark, SF_DIR, "orders").select("o_custkey", F.year("o_orderdate").alias("yr"))
     orders.write.orc(f"{tmp_path}/orders.orc")
-    for events in (
-        spark.read.orc(f"{tmp_path}/orders.orc"),
-        orders.repartition(3),
-        orders.join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")),
+    for events, moves in (
+        (spark.read.orc(f"{tmp_path}/orders.orc"), 1),
+        (orders.repartition(3), 1),
+        # The join has already placed these by subject.
+        (orders.join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")), 0),
     ):
         plan = executed_plan(
             coverage_grid(
@@ -116,9 +129,11 @@ def test_grid_counts_once_on_other_inputs(spark, conf, tmp_path, adaptive, uniqu
                 event_subject="o_custkey", unique_subjects=unique,
             )
         )
-        moved = [line for line in plan.splitlines() if "+- Exchange hashpartitioning(__reached" in line]
-        # None where the join has already placed the events by subject.
-        assert len(moved) <= 1
+        # Events are brought together by subject and block once, and what counts the cells
+        # also gives the bounds.
+        moved = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(__reached#\d+L?, _", line)]
+        assert len(moved) == moves
+        assert "ReusedExchange" in plan
 
 
 def test_year_picks_partitions(spark, tmp_path):

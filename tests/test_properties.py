@@ -9,11 +9,12 @@ from rollcall import coverage_by_group, coverage_change, coverage_grid, coverage
 
 subjects = st.one_of(st.none(), st.integers(0, 12))
 groups = st.sampled_from(["a", "b", "c", None])
-periods = st.one_of(st.none(), st.integers(-2, 6))
+periods = st.one_of(st.none(), st.integers(-2, 6), st.sampled_from([-129, -65, -64, 63, 64, 127, 128]))
 registers = st.lists(st.tuples(subjects, groups), max_size=25)
 event_lists = st.lists(st.tuples(subjects, periods), max_size=40)
 
-few = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+# Every example runs Spark jobs, which the health check takes for slow data generation.
+few = settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.function_scoped_fixture])
 
 
 def frames(spark, register, events):

@@ -69,9 +69,10 @@ def test_hot_subject_in_the_events_of_a_grid(spark, register, events):
     want = expected(register, events, "yr")
     assert {(r["c_nationkey"], r["yr"]): r["covered"] for r in rows if r["covered"]} == want
     assert seen["largest_read"] < 25_000
-    # All events to be spread; then two thirds of them at most and the register once
-    # each, and a few rows per task and cell.
-    assert seen["records"] <= n_events + n_events * 2 / 3 + n_subjects + 5 * TASKS * len(rows)
+    # All events to be spread; then two thirds of them at most by subject and block, a
+    # block for each subject and the register's two rows each by subject, and a few rows
+    # per task and cell.
+    assert seen["records"] <= n_events + n_events * 2 / 3 + 3 * n_subjects + 5 * TASKS * len(rows)
 
 
 def test_hot_repeated_subject_in_the_register(spark, register, events):
@@ -101,3 +102,16 @@ def test_hot_group(spark, register, events):
     want = expected(skewed, events, "yr")
     assert {(r["c_nationkey"], r["yr"]): r["covered"] for r in rows if r["covered"]} == want
     assert seen["largest_read"] < 25_000
+
+
+def test_one_subject_in_very_many_groups(spark, register, events):
+    """Its register rows are joined to its events in one task; README says so."""
+    wide = register.select("c_custkey", F.col("c_nationkey").cast("long").alias("grp")).unionByName(
+        spark.range(100, 100_100).select(F.lit(HOT).cast("long").alias("c_custkey"), F.col("id").alias("grp"))
+    )
+    args = dict(subject="c_custkey", by=["grp"], event_subject="who")
+    got = coverage_by_group(wide.repartition(TASKS), events, **args)
+    assert tuple(got.agg(F.count(F.lit(1)), F.sum("population")).first()) == (100_025, 115_000)
+    reached = events.where(F.col("who") == HOT).count() > 0
+    extra = got.where("grp >= 100").agg(F.sum("covered")).first()[0]
+    assert extra == (100_000 if reached else 0)

@@ -162,6 +162,9 @@ def train(lines: list[np.ndarray], content: list[int]) -> dict | None:
     pairs = has[:, 1:]
     size = np.array([N_FEATURES, 2, 4])
     theta = np.zeros(size.sum())
+    # Labels are those of whole texts. Weights of the moves are held back, or they would
+    # learn from that that a text's lines never differ.
+    hold = np.repeat([1e-3, 1e-3, 5e-2], size)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     scale = has.sum()
     for step in range(1, TRAIN_STEPS + 1):
@@ -190,7 +193,7 @@ def train(lines: list[np.ndarray], content: list[int]) -> dict | None:
                 (seen - edge).ravel(),
             ]
         )
-        grad = grad / scale - 1e-3 * theta
+        grad = grad / scale - hold * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta += 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -215,7 +218,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
     )
     some = [known.where(F.col("content") == c).orderBy("rank", "train_id").limit(TRAIN_DOCS) for c in (0, 1)]
     # No more than 2 * TRAIN_DOCS rows of two numbers.
-    sample = docs.join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("train_id"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("train_id"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()

@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rollcall.llm.scratch import written
-from rollcall.llm.words import Hasher, chunks, column_bytes
+from rollcall.llm.words import Hasher, chunks, column_bytes, mix
 
 LENGTH = 50
-KMER = 12
+KMER = 8
+#: Of what a string holds beside its minimizer, at least so many bytes lie on one side.
+SIDE = (LENGTH - KMER + 1) // 2
 
 #: Text whose stretches share a bucket, and text that is dealt out at once, in bytes.
-BUCKET_BYTES = 8 << 20
-DEAL_BYTES = 12 << 20
-BATCH = 1 << 17
+BUCKET_BYTES = 6 << 20
+DEAL_BYTES = 8 << 20
+BATCH = 1 << 16
 ZSTD_LEVEL = 4
 
 
@@ -82,18 +84,24 @@ def stretches(hasher: Hasher, data: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return row, start, count, place, key, hasher.ranges(sums, start, start + count + LENGTH - 1)
 
 
-_PARTS = ("<i8", "<u2", "<u4", "<u4", "<u4", "u1", "u1")
+_PARTS = ("<i8", "u1", "u1", "<i4", "<u4", "u1", "u1")
 
 
-def packed(parts: list[np.ndarray]) -> bytes:
+def packed(doc, tag, index, start, size, place, body) -> bytes:
+    """Stretches as one compressed blob: documents and tags, and for each stretch its
+    document's index, which ascends by steps of 0 or 1, its start, size and minimizer."""
     import zstandard
 
-    raw = [np.ascontiguousarray(p, kind).tobytes() for p, kind in zip(parts, _PARTS)]
+    step = np.diff(index, prepend=0)
+    near = np.where(step == 0, np.diff(start, prepend=0), start)
+    parts = (np.diff(doc, prepend=0), tag, step, near, size, place, body)
+    raw = [np.ascontiguousarray(p).astype(kind, copy=False).tobytes() for p, kind in zip(parts, _PARTS)]
     head = np.array([len(r) for r in raw], "<i8").tobytes()
     return zstandard.ZstdCompressor(level=ZSTD_LEVEL).compress(head + b"".join(raw))
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
+def unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Document, tag, start, size and minimizer's place of every stretch, and their bytes."""
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -102,7 +110,12 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     for size, kind in zip(sizes, _PARTS):
         out.append(np.frombuffer(raw, kind, int(size) // np.dtype(kind).itemsize, at))
         at += int(size)
-    return out
+    doc, tag, step, near, size, place, body = out
+    index = np.cumsum(step, dtype=np.int64)
+    run = np.cumsum(near, dtype=np.int64)
+    first = np.flatnonzero(np.r_[True, step[1:] != 0])
+    start = run - np.repeat(run[first] - near[first], np.diff(np.r_[first, len(run)]))
+    return np.cumsum(doc)[index], tag[index], start, size, place, body
 
 
 def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,26 +162,38 @@ class Levels:
         return out
 
 
-def repeated(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+def _met_twice(data: np.ndarray, at: np.ndarray, width: int, doc: np.ndarray) -> np.ndarray:
+    """Whether the ``width`` bytes at each place are also those at a place of another
+    document, up to a hash."""
+    wide = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[at]
+    h = np.zeros(len(at), np.uint64)
+    for column in wide.view("<u8").T:
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) + column)
+    order = np.argsort(h)
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+    out = np.empty(len(at), bool)
+    out[order] = np.repeat(many, np.diff(np.r_[first, len(at)]))
+    return out
+
+
+def repeated(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """Document, tag, start and stop of the ranges to remove, from one bucket's stretches."""
-    doc = np.concatenate([p[0][p[2]] for p in parts])
-    tag = np.concatenate([p[1][p[2]] for p in parts])
-    start = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    count = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    place = np.concatenate([p[5] for p in parts]).astype(np.int64)
-    data = np.concatenate([p[6] for p in parts])
+    doc, tag, start, count, place, data = (np.concatenate(c) for c in zip(*parts))
+    parts.clear()
+    count, place = count.astype(np.int64), place.astype(np.int64)
     size = count + LENGTH - 1
     begin = np.cumsum(size) - size
-    # Only stretches whose minimizer is met in several documents can hold repeats.
-    kmers = np.zeros((len(doc), 16), np.uint8)
-    kmers[:, :KMER] = data[(begin + place)[:, None] + np.arange(KMER)]
-    a, b = kmers.view("<u8").T
-    order = np.lexsort((doc, b, a))
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    group = np.cumsum(np.r_[0, ~same])
-    lowest = np.minimum.reduceat(doc[order], np.flatnonzero(np.r_[True, ~same]))
-    highest = np.maximum.reduceat(doc[order], np.flatnonzero(np.r_[True, ~same]))
-    some = order[(lowest != highest)[group]]
+    # A string that two stretches share holds their minimizer and, on one of its sides,
+    # at least ``SIDE`` bytes more; other stretches hold no repeats.
+    some = np.zeros(len(doc), bool)
+    right = np.flatnonzero(place + KMER + SIDE <= size)
+    left = np.flatnonzero(place >= SIDE)
+    for which, at in ((right, begin + place), (left, begin + place - SIDE)):
+        if len(which):
+            some[which] |= _met_twice(data, at[which], KMER + SIDE, doc[which])
+    some = np.flatnonzero(some)
     if not len(some):
         return doc[:0], tag[:0], start[:0], start[:0]
     some = some[np.argsort(doc[some], kind="stable")]
@@ -183,7 +208,7 @@ def repeated(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum(n)
         inner = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
         where = np.repeat(begin[mine], n) + inner
-        strings = data[where[:, None] + np.arange(LENGTH)].view(f"S{LENGTH}").ravel()
+        strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[where].view(f"S{LENGTH}").ravel()
         own = np.repeat(doc[mine], n)
         gone = levels.add(strings, own) < own
         which = np.repeat(mine, n)[gone]
@@ -233,7 +258,7 @@ def _dealt(docs: DataFrame, n_buckets: int) -> DataFrame:
                 r, lo, hi = merged(row[known], start[known], start[known] + count[known] + LENGTH - 1)
                 used, index = np.unique(r, return_inverse=True)
                 empty = np.zeros(0)
-                payloads.append((-1 - turn, int(doc[used[0]]), packed([doc[used], tag[used], index, lo, hi, empty, empty])))
+                payloads.append((-1 - turn, int(doc[used[0]]), packed(doc[used], tag[used], index, lo, hi - lo, empty, empty)))
             left = np.flatnonzero(rest)
             bucket = (key[left] >> np.uint64(7)) % np.uint64(n_buckets)
             left = left[np.argsort(bucket, kind="stable")]
@@ -244,7 +269,7 @@ def _dealt(docs: DataFrame, n_buckets: int) -> DataFrame:
                 used, index = np.unique(row[mine], return_inverse=True)
                 body = joined_ranges(data, at[mine], count[mine] + LENGTH - 1)
                 payloads.append(
-                    (int(bucket[lo]), int(doc[used].min()), packed([doc[used], tag[used], index, start[mine], count[mine], place[mine], body]))
+                    (int(bucket[lo]), int(doc[used].min()), packed(doc[used], tag[used], index, start[mine], count[mine], place[mine], body))
                 )
                 if len(payloads) >= 64:
                     yield out(payloads)
@@ -285,7 +310,7 @@ def _dealt(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 def _tag():
     """Tells rows apart that share an id."""
-    return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("tag")
+    return F.pmod(F.xxhash64("text"), F.lit(251)).cast("int").alias("tag")
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +323,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket = at
             got = unpacked(payload.as_py())
             if at < 0:
-                yield _ranges_batch(got[0][got[2]], got[1][got[2]], got[3], got[4])
+                yield _ranges_batch(got[0], got[1], got[2], got[2] + got[3])
             else:
                 parts.append(got)
     if parts:

@@ -29,6 +29,12 @@ REGISTERS = 256
 BAND_REGISTERS = 6
 BANDS = REGISTERS // BAND_REGISTERS
 
+#: Documents of one block, when what a bucket still holds is compared in blocks.
+BLOCK = 256
+
+# Sums of fractions may fall short of the similarity they stand for.
+_SLACK = 1e-9
+
 _ITEM_BITS = 48
 _ITEMS = np.uint64((1 << _ITEM_BITS) - 1)
 
@@ -134,6 +140,16 @@ def _sketched(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sets(column: pa.Array, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and counts of every text of a column."""
+    data, offsets = column_bytes(column)
+    for first, last, part, ends in chunks(data, offsets):
+        row, item, count = weighted(hasher, part, ends)
+        bounds = np.searchsorted(row, np.arange(last - first + 1))
+        for lo, hi in zip(bounds, bounds[1:]):
+            yield item[lo:hi], count[lo:hi]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar enough."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
@@ -142,25 +158,124 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-
-        def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            data, offsets = column_bytes(column)
-            for first, last, part, ends in chunks(data, offsets):
-                row, item, count = weighted(hasher, part, ends)
-                bounds = np.searchsorted(row, np.arange(last - first + 1))
-                for lo, hi in zip(bounds, bounds[1:]):
-                    yield item[lo:hi], count[lo:hi]
-
         for batch in batches:
             good = [
-                similarity(ia, ca, ib, cb) >= threshold
-                for (ia, ca), (ib, cb) in zip(sets(batch.column(2)), sets(batch.column(3)))
+                similarity(*a, *b) >= threshold - _SLACK
+                for a, b in zip(_sets(batch.column(2), hasher), _sets(batch.column(3), hasher))
             ]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def spanning_links(
+    reps: np.ndarray, classes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float
+) -> list[tuple[int, int]]:
+    """Links that connect the classes of some documents as all links between them would."""
+    n = len(reps)
+    label = np.unique(classes, return_inverse=True)[1]
+    size = np.array([len(i) for i, _ in sets])
+    total = np.array([c.sum() for _, c in sets], float)
+    column, common = np.unique(np.concatenate([i for i, _ in sets]), return_inverse=True)
+    shared = np.bincount(common, minlength=len(column)) > 1
+    place = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(n), size)
+    weight = np.concatenate([c for _, c in sets]) / np.repeat(total, size)
+    keep = shared[common]
+    row, at, weight = row[keep], place[common[keep]], weight[keep]
+    held = np.zeros((n, n))  # items in common
+    share = np.zeros((n, n))  # weight of those in the first, of all its weight
+    for first in range(0, int(shared.sum()), 4096):
+        some = (at >= first) & (at < first + 4096)
+        has = np.zeros((n, min(4096, int(shared.sum()) - first)), np.float32)
+        weighs = np.zeros_like(has)
+        has[row[some], at[some] - first] = 1
+        weighs[row[some], at[some] - first] = weight[some]
+        held += has @ has.T
+        share += weighs @ has.T
+    # The similarity is at most the weight in common, of either.
+    able = np.minimum(share, share.T) >= threshold - 1e-4
+    plain = size == total
+    exact = plain[:, None] & plain[None, :]
+    jaccard = held / (size[:, None] + size[None, :] - held)
+    able &= ~exact | (jaccard >= threshold - _SLACK)
+    out = []
+    for i in range(n):
+        for j in np.flatnonzero(able[i] & (label != label[i])):
+            if label[i] != label[j] and (exact[i, j] or similarity(*sets[i], *sets[j]) >= threshold - _SLACK):
+                out.append((int(reps[i]), int(reps[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _linked_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes that meet in a bucket, as many as connect them.
+
+    ``rows`` has ``key``, ``rep`` and ``c``, the class. The documents of a bucket are dealt
+    into blocks, and every two blocks are compared within one task, shingle by shingle;
+    only links come out.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            sets = list(_sets(batch.column(1), hasher))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([i.astype(np.int64) for i, _ in sets], pa.list_(pa.int64())),
+                    pa.array([c.astype(np.int32) if (c > 1).any() else None for _, c in sets], pa.list_(pa.int32())),
+                ],
+                ["doc_id", "items", "counts"],
+            )
+
+    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
+        shingled, "doc_id long, items array<long>, counts array<int>"
+    )
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), "blocks")
+    dealt = (
+        rows.join(blocks, "key")
+        .select("key", "rep", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+        .select("key", "rep", "c", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+        .select(F.xxhash64("key", "one", "two").alias("unit"), "rep", "c")
+    )
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+
+        def found() -> pa.RecordBatch:
+            links = spanning_links(
+                np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], threshold
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"]
+            )
+
+        for batch in batches:
+            units, reps, classes = (batch.column(i).to_numpy() for i in range(3))
+            items, counts = batch.column(3), batch.column(4)
+            for i in range(batch.num_rows):
+                if units[i] != unit:
+                    if len(held) > 1:
+                        yield found()
+                    unit, held = units[i], []
+                item = items[i].values.to_numpy().astype(np.uint64)
+                count = counts[i].values.to_numpy() if counts[i].is_valid else np.ones(len(item), np.int32)
+                held.append((int(reps[i]), int(classes[i]), (item, count)))
+        if len(held) > 1:
+            yield found()
+
+    return (
+        dealt.join(sets, F.col("rep") == F.col("doc_id"))
+        .select("unit", "rep", "c", "items", "counts")
+        .repartition("unit")
+        .sortWithinPartitions("unit", "rep")
+        .mapInArrow(link, "a long, b long")
+    )
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -170,10 +285,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFr
     without words, or null, is alone; rows with one id are one document; rows without an
     id are alone, without a class. An empty table gives no rows.
 
-    The documents of a bucket are first compared with its smallest, then with one drawn by
-    hash, and links are joined into classes in between. What a bucket still holds of
-    different classes is compared pair by pair; within a class no pair is formed, so a
-    large group of copies costs about as many comparisons as it has members.
+    Each document is first compared with the smallest of the buckets it is in, the one it
+    shares most of them with, and the links found are joined into classes. Only buckets that
+    still hold several classes are gone through further, in blocks of documents whose
+    shingles are compared within a task. No pair of documents is formed outside.
 
     Returns ``doc_id, class_id, kept``: the smallest id of the class, and whether it is
     the document's own. Rows without an id are kept.
@@ -193,34 +308,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFr
     pairs = nearest.select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
     links = written(_verified(pairs, texts, threshold), "links")
 
-    def classed(links: DataFrame) -> DataFrame:
-        known = components(links)
-        return written(
-            buckets.select("key", "rep")
-            .join(known, F.col("rep") == F.col("node"), "left")
-            .select("key", "rep", F.coalesce("component", "rep").alias("c")),
-            "classed",
-        )
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one class."""
-        several = rows.groupBy("key").agg(
-            F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(1))).alias("drawn")
-        )
-        return rows.join(several.where("low <> high").select("key", "drawn"), "key")
-
-    rows = mixed(classed(links))
-    pairs = rows.where(F.col("c") != F.col("drawn.c")).select(
-        F.least("rep", "drawn.rep").alias("a"), F.greatest("rep", "drawn.rep").alias("b")
-    )
-    links = links.unionByName(written(_verified(pairs.distinct(), texts, threshold), "links"))
-
-    rows = written(mixed(classed(links)).select("key", "rep", "c"), "mixed")
-    other = rows.select("key", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-    pairs = rows.join(other, "key").where("c < c2").select(
-        F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")
+    known = components(links)
+    classed = written(
+        buckets.select("key", "rep")
+        .join(known, F.col("rep") == F.col("node"), "left")
+        .select("key", "rep", F.coalesce("component", "rep").alias("c")),
+        "classed",
     )
-    links = links.unionByName(written(_verified(pairs.distinct(), texts, threshold), "links"))
+    several = classed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    mixed = written(classed.join(several.select("key"), "key"), "mixed")
+    links = links.unionByName(written(_linked_in_blocks(mixed, texts, threshold), "links"))
 
     classes = components(links)
     of_rep = reps.select("key_a", "key_b", "rep").join(classes, F.col("rep") == F.col("node"), "left").select(

@@ -58,9 +58,11 @@ def without_repeated_windows(docs: DataFrame) -> DataFrame:
     and ``n_removed`` int.
     """
     removed = _covered(docs)
-    rows = docs.withColumns({"__key": F.xxhash64("text"), "__lines": _lines()})
-    joined = rows.join(
-        removed, F.col("doc_id").eqNullSafe(F.col("doc_key")) & (F.col("__key") == F.col("text_key")), "left"
+    # Texts are split again after they have moved: lines beside them would move as well.
+    joined = (
+        docs.withColumn("__key", F.xxhash64("text"))
+        .join(removed, F.col("doc_id").eqNullSafe(F.col("doc_key")) & (F.col("__key") == F.col("text_key")), "left")
+        .withColumn("__lines", _lines())
     )
     covered = F.array_sort(
         F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(*(s + i for i in range(WIDTH))))))

@@ -106,7 +106,8 @@ def paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
         reached = on_path.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
             "tree", "leaf", "rank", F.col("up").alias("node")
         )
-        on_path = on_path.unionByName(reached)
+        # Written, as the next round reads it twice: plans would double as well.
+        on_path = written(on_path.unionByName(reached), "paths")
     depths = rooted.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
     return on_path.join(depths, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select(
         "tree", "leaf", "rank", "depth", "node"

@@ -82,16 +82,19 @@ def paths(messages: DataFrame, *, branches: int = 1) -> DataFrame:
             F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"),
             F.col("depth").alias("depth2"), F.col("total").alias("total2"),
         )
-        jump = written(
-            jump.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
+        # Messages that have reached their root wait; only the others are joined.
+        further = (
+            jump.where("up is not null")
+            .join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+            .select(
                 "tree",
                 "node",
                 F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            ),
-            "replies",
+                (F.col("depth") + F.col("depth2")).alias("depth"),
+                (F.col("total") + F.col("total2")).alias("total"),
+            )
         )
+        jump = written(jump.where("up is null").unionByName(further), "replies")
         jumps.append(jump)
     rooted = jump.where("up is null")
     parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).where("n is not null").distinct()

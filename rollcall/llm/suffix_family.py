@@ -162,14 +162,35 @@ class Levels:
         return out
 
 
+def _places(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretch, and place in ``data``, of every occurrence of a stretch's minimizer in it."""
+    kmers = np.lib.stride_tricks.sliding_window_view(data, KMER).view("<u8")[:, 0]
+    n = size - KMER + 1
+    key = kmers[begin + place]
+    filled = np.cumsum(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(n):
+        last = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + (1 << 20), "right")))
+        mine = n[at:last]
+        ends = np.cumsum(mine)
+        where = np.arange(int(ends[-1])) + np.repeat(begin[at:last] - ends + mine, mine)
+        hit = np.flatnonzero(kmers[where] == np.repeat(key[at:last], mine))
+        found.append((at + np.searchsorted(ends, hit, "right"), where[hit]))
+        at = last
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _met_twice(data: np.ndarray, at: np.ndarray, width: int, doc: np.ndarray) -> np.ndarray:
     """Whether the ``width`` bytes at each place are also those at a place of another
     document, up to a hash."""
-    wide = np.zeros((len(at), -(-width // 8) * 8), np.uint8)
-    wide[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[at]
     h = np.zeros(len(at), np.uint64)
-    for column in wide.view("<u8").T:
-        h = mix(h * np.uint64(0x9FB21C651E98DF25) + column)
+    for lo in range(0, len(at), 1 << 20):
+        some = at[lo : lo + (1 << 20)]
+        wide = np.zeros((len(some), -(-width // 8) * 8), np.uint8)
+        wide[:, :width] = np.lib.stride_tricks.sliding_window_view(data, width)[some]
+        for column in wide.view("<u8").T:
+            h[lo : lo + len(some)] = mix(h[lo : lo + len(some)] * np.uint64(0x9FB21C651E98DF25) + column)
     order = np.argsort(h)
     first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
@@ -186,13 +207,16 @@ def repeated(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     size = count + LENGTH - 1
     begin = np.cumsum(size) - size
     # A string that two stretches share holds their minimizer and, on one of its sides,
-    # at least ``SIDE`` bytes more; other stretches hold no repeats.
+    # at least ``SIDE`` bytes more; other stretches hold no repeats. A stretch may hold its
+    # minimizer several times, and the string another than the first.
     some = np.zeros(len(doc), bool)
-    right = np.flatnonzero(place + KMER + SIDE <= size)
-    left = np.flatnonzero(place >= SIDE)
-    for which, at in ((right, begin + place), (left, begin + place - SIDE)):
-        if len(which):
-            some[which] |= _met_twice(data, at[which], KMER + SIDE, doc[which])
+    which, at = _places(data, begin, size, place)
+    right = at + KMER + SIDE <= (begin + size)[which]
+    left = at - SIDE >= begin[which]
+    for able, back in ((right, 0), (left, SIDE)):
+        if able.any():
+            met = _met_twice(data, at[able] - back, KMER + SIDE, doc[which[able]])
+            some[which[able][met]] = True
     some = np.flatnonzero(some)
     if not len(some):
         return doc[:0], tag[:0], start[:0], start[:0]

@@ -433,3 +433,16 @@ def test_repeated_strings_of_empty_and_short_tables(documents):
     docs = documents([(1, None), (2, "short"), (3, "short")])
     assert sorted(r["n_removed"] for r in suffix_family.repeats_removed(docs).collect()) == [0, 0, 0]
     assert suffix_family.repeats_removed(docs.limit(0)).collect() == []
+
+
+def test_strings_whose_minimizer_recurs(documents):
+    r = random.Random(12)
+    rows = []
+    for g in range(40):
+        word = "".join(r.choice("abcdefghijkl") for _ in range(7)) + " "
+        passage = prose(900 + g, 12)
+        for n in r.sample([2, 3, 4], 3):
+            rows.append((len(rows), prose(5000 + len(rows), 12) + " " + word * n + passage))
+    got = suffix_family.repeats_removed(documents(rows))
+    found = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got.collect()), key=str)
+    assert found == removed_by_hand(rows)

@@ -2,8 +2,8 @@
 
 Each half of a vector has a codebook of its own; a pair of codewords is a cell. A vector
 lies in the cell of its nearest codewords and visits cells in ascending order of the sum of
-both squared distances. How many it visits is set so that a sample, compared with all
-vectors by brute force, reaches a target recall; pairs that meet are then compared exactly.
+both squared distances. How many it visits is set so that a sample reaches a target recall,
+compared with all other vectors by brute force and with planted ones; pairs that meet are then compared exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.scratch import written
@@ -24,11 +24,15 @@ TARGET_RECALL = 0.9995
 #: Vectors that fit the codebooks, and vectors that measure recall against all others.
 FIT_VECTORS = 10_000
 PROBE_VECTORS = 400
+#: Vectors planted at the threshold around each probe.
+PLANTED = 16
 LLOYD_ROUNDS = 8
 MIN_CELLS = 16
 MAX_CODEWORDS = 256
 VECTORS_PER_CELL = 8
 BLOCK = 1024
+#: What moving a vector to a cell costs, in comparisons of two vectors.
+ROW_COST = 200
 
 
 def units(vectors: list | np.ndarray) -> np.ndarray:
@@ -74,14 +78,40 @@ def sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
     return np.take_along_axis(r1, a[order], 1) * k2 + np.take_along_axis(r2, b[order], 1)
 
 
-def _books(clean: DataFrame, largest: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Codebooks for each length of vector, from those with the smallest hashes."""
+def _books(sample: dict[int, np.ndarray], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Codebooks of ``k`` words for each length of vector."""
+    return {n: tuple(fitted(h, k) for h in halves(x)) for n, x in sample.items()}
+
+
+def _search(clean: DataFrame, largest: int, threshold: float) -> tuple[dict, int]:
+    """Codebooks, and how many cells to visit.
+
+    Of the sizes of codebooks, each with the cells it needs, that which costs least where
+    ``largest`` vectors share a label is taken: small ones compare more, large ones move more.
+    """
     rows = clean.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("embedding").collect()
-    k = min(MAX_CODEWORDS, 1 << max(1, int(np.ceil(np.log2(max(1.0, largest / VECTORS_PER_CELL)) / 2))))
     by_length: dict[int, list] = {}
     for r in rows:
         by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    return {n: tuple(fitted(h, k) for h in halves(units(v))) for n, v in by_length.items()}
+    sample = {n: units(v) for n, v in by_length.items()}
+    rows = clean.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBE_VECTORS).select("label", "rep", "embedding").collect()
+    grouped: dict[tuple, list] = {}
+    for r in rows:
+        if len(r["embedding"]) in sample:
+            grouped.setdefault((r["label"], len(r["embedding"])), []).append(r)
+    probes = {at: (units([r["embedding"] for r in some]), np.array([r["rep"] for r in some])) for at, some in grouped.items()}
+    k = min(MAX_CODEWORDS, 1 << max(1, int(np.ceil(np.log2(max(1.0, largest / VECTORS_PER_CELL)) / 2))))
+    best = None
+    while k > 1:
+        books = _books(sample, k)
+        cells = max(MIN_CELLS, 2 * _planted_need(probes, books, threshold))
+        visited = min(cells, k * k)
+        cost = visited * (ROW_COST * max(1, largest / k**2 / BLOCK) + largest / k**2)
+        if best is None or cost < best[0]:
+            best = cost, books, cells
+        k //= 2
+    _, books, cells = best
+    return books, max(cells, 2 * _met_need(clean, probes, books, threshold))
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,8 +144,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     by_label = clean.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"]
     if by_label is None:
         return _result(rows, good, clean.select(F.col("rep").alias("node"), F.lit(0).alias("n_links"), F.col("rep").alias("component")))
-    books = _books(clean, by_label)
-    cells = _cells_to_visit(clean, books, threshold)
+    books, cells = _search(clean, by_label, threshold)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,48 +223,86 @@ def _result(rows: DataFrame, good: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def _cells_to_visit(clean: DataFrame, books: dict, threshold: float) -> int:
-    """Cells to visit, twice those that reach the target recall on a sample of vectors.
-
-    The sample is compared with all vectors. What comes to the driver is a count for each
-    position in the sequence.
+def planted(x: np.ndarray, threshold: float, n: int) -> np.ndarray:
+    """``n`` vectors at a cosine of ``threshold`` to each row of ``x``, by row: every other
+    one towards another row, the rest in any direction."""
+    r = np.random.default_rng(len(x))
+    m, size = x.shape
+    ways = r.normal(size=(n, m, size))
+    ways[::2] = x[r.integers(0, m, (-(-n // 2), m))]
+    for _ in range(2):
+        ways -= (ways * x).sum(2, keepdims=True) * x
+        length = np.linalg.norm(ways, axis=2, keepdims=True)
+        # Rows may be drawn as their own partners, or lie on a line with them.
+        ways = np.where(length > 1e-6, ways, r.normal(size=ways.shape))
+    ways -= (ways * x).sum(2, keepdims=True) * x
+    ways /= np.maximum(np.linalg.norm(ways, axis=2, keepdims=True), 1e-300)
+    return units((threshold * x + np.sqrt(1 - threshold**2) * ways).transpose(1, 0, 2).reshape(n * m, size))
+
+
+def positions(d1: np.ndarray, d2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Where cells (c1, c2) stand in the sequence of a vector at these distances."""
+    order = np.sort((d1[:, None] + d2[None, :]).ravel())
+    return np.searchsorted(order, d1[c1] + d2[c2])
+
+
+def _reached(position: np.ndarray, weight: np.ndarray) -> int:
+    """How many cells of the sequence hold the target's share of the weight."""
+    if not len(position):
+        return 0
+    order = np.argsort(position, kind="stable")
+    share = np.cumsum(weight[order])
+    at = min(int(np.searchsorted(share, TARGET_RECALL * share[-1])), len(order) - 1)
+    return int(position[order][at]) + 1
+
+
+def _planted_need(probes: dict, books: dict, threshold: float) -> int:
+    """Cells that reach the target recall of vectors planted at the threshold around the
+    probes: most probes of a large table may have no partner of their own."""
+    at = [np.zeros(0, np.int64)]
+    for (_, length), (x, _) in probes.items():
+        if length > 1:
+            d = [distances(h, b) for h, b in zip(halves(x), books[length])]
+            y = planted(x, threshold, PLANTED)
+            cells = [distances(h, b).argmin(1).reshape(len(x), -1) for h, b in zip(halves(y), books[length])]
+            at += [positions(*p) for p in zip(*d, *cells)]
+    every = np.concatenate(at)
+    return _reached(every, np.ones(len(every)))
+
+
+def _met_need(clean: DataFrame, probes: dict, books: dict, threshold: float) -> int:
+    """Cells that reach the target recall of what the probes link with, themselves left out.
+
+    The probes are compared with all vectors. Those with a partner weigh the same, however
+    many each has. What comes to the driver is a weight for each position in the sequence.
     """
-    probes = clean.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBE_VECTORS).select("label", "embedding").collect()
     sums: dict[tuple, tuple] = {}
-    for length, book in books.items():
-        mine = [r for r in probes if len(r["embedding"]) == length]
-        for label in {r["label"] for r in mine}:
-            x = units([r["embedding"] for r in mine if r["label"] == label])
-            d1, d2 = (distances(h, b) for h, b in zip(halves(x), book))
-            sums[label, length] = (x, d1, d2)
+    n_probes = 0
+    for (label, length), (x, reps) in probes.items():
+        sums[label, length] = (x, *(distances(h, b) for h, b in zip(halves(x), books[length])), reps, n_probes)
+        n_probes += len(x)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (label, length), part in batch.groupby(["label", batch["embedding"].map(len)]):
                 if (label, length) not in sums:
                     continue
-                x, d1, d2 = sums[label, length]
+                x, d1, d2, reps, first = sums[label, length]
                 y = units(part["embedding"])
                 cell = [distances(h, b).argmin(1) for h, b in zip(halves(y), books[length])]
-                probe, row = np.nonzero(x @ y.T >= threshold)
+                probe, row = np.nonzero((x @ y.T >= threshold) & (reps[:, None] != part["rep"].to_numpy()))
                 for p in np.unique(probe):
                     at = row[probe == p]
-                    order = np.sort((d1[p][:, None] + d2[p][None, :]).ravel())
-                    position = np.searchsorted(order, d1[p][cell[0][at]] + d2[p][cell[1][at]])
-                    values, counts = np.unique(position, return_counts=True)
-                    yield pd.DataFrame({"position": values, "n": counts})
-
-    seen = (
-        clean.select("label", "embedding").mapInPandas(rank, "position long, n long")
-        .groupBy("position").agg(F.sum("n").alias("n")).orderBy("position").collect()
+                    values, counts = np.unique(positions(d1[p], d2[p], cell[0][at], cell[1][at]), return_counts=True)
+                    yield pd.DataFrame({"probe": first + p, "position": values, "n": counts})
+
+    ranked = (
+        clean.select("label", "rep", "embedding").mapInPandas(rank, "probe long, position long, n long")
+        .groupBy("probe", "position").agg(F.sum("n").alias("n"))
     )
-    total, so_far, needed = sum(r["n"] for r in seen), 0, 0
-    for r in seen:
-        so_far += r["n"]
-        needed = r["position"] + 1
-        if so_far >= TARGET_RECALL * total:
-            break
-    return max(MIN_CELLS, 2 * needed)
+    weight = F.col("n") / F.sum("n").over(Window.partitionBy("probe"))
+    seen = ranked.select("position", weight.alias("weight")).groupBy("position").agg(F.sum("weight").alias("weight")).collect()
+    return _reached(np.array([r["position"] for r in seen], np.int64), np.array([r["weight"] for r in seen]))
 
 
 def _compare(threshold: float):

@@ -217,6 +217,40 @@ def test_recall_on_the_given_vectors(spark):
     assert all(got[i] <= want[i][0] for i in got)
 
 
+def topics(r, n, wide):
+    return multi_index.units(r.normal(size=(300, 64))[r.integers(0, 300, n)] + wide * r.normal(size=(n, 64)))
+
+
+def at_cosine(r, x, cosine):
+    way = r.normal(size=x.shape)
+    way -= (way * x).sum(1, keepdims=True) * x
+    return cosine * x + math.sqrt(1 - cosine**2) * multi_index.units(way)
+
+
+def test_rare_links_are_found(spark):
+    r = np.random.default_rng(8)
+    x = topics(r, 8000, 1.0)
+    # Above the threshold by what single precision may take away.
+    x = np.concatenate([x, at_cosine(r, x[:80], 0.9301)])
+    links = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    got = multi_index.near_vectors(rows.repartition(4)).agg(F.sum("n_links")).first()[0]
+    assert 2 * len(links) * 0.999 <= got <= 2 * len(links)
+
+
+@pytest.mark.parametrize("wide", [0.4, 1.0])
+def test_visits_of_many_cells_reach_vectors_at_the_threshold(wide):
+    r = np.random.default_rng(9)
+    x = topics(r, 10000, wide)
+    book = [multi_index.fitted(h, 256) for h in multi_index.halves(x)]
+    need = multi_index._planted_need({(1, 64): (x[:400], np.arange(400))}, {64: tuple(book)}, 0.93)
+    asks = x[1000:4000]
+    y = at_cosine(r, asks, 0.93)
+    seen = multi_index.sequence(*(multi_index.distances(h, b) for h, b in zip(multi_index.halves(asks), book)), 2 * need)
+    first, second = (multi_index.distances(h, b).argmin(1) for h, b in zip(multi_index.halves(y), book))
+    assert (seen == (first * 256 + second)[:, None]).any(1).mean() >= 0.998
+
+
 def test_multi_sequence_visits_the_nearest_cells_first():
     r = np.random.default_rng(3)
     d1, d2 = r.random((20, 7)), r.random((20, 5))

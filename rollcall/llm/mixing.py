@@ -25,7 +25,7 @@ SEED = 20
 MAX_SOURCES = 1_000_000
 ROWS_PER_BUCKET = 2000
 
-# Above this numpy draws no hypergeometric counts, and a range is halved in proportion.
+# Above this numpy draws no hypergeometric counts, and slots are drawn by binomials.
 _DRAW_LIMIT = 900_000_000
 
 
@@ -67,10 +67,23 @@ def _halve(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarra
     total = int(counts.sum())
     if total <= _DRAW_LIMIT:
         return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    drawn = counts * take // total
-    for i in np.argsort(-(counts - drawn), kind="stable")[: take - int(drawn.sum())]:
-        drawn[i] += 1
-    return drawn
+    # Each slot by itself gives a random set of nearly the right size; taking random slots
+    # out of it, or of the rest into it, gives one of the right size.
+    drawn = rng.binomial(counts, take / total)
+    over = int(drawn.sum()) - take
+    if over > 0:
+        return drawn - _some(drawn, over, rng)
+    return drawn + _some(counts - drawn, -over, rng)
+
+
+def _some(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """Draw few of very many slots without replacement: the counts per source."""
+    ends = np.cumsum(counts)
+    slots = np.zeros(0, np.int64)
+    while len(slots) < take:
+        slots = np.append(slots, rng.integers(0, int(ends[-1]), take - len(slots)))
+        slots = slots[np.sort(np.unique(slots, return_index=True)[1])]
+    return np.bincount(np.searchsorted(ends, slots, "right"), minlength=len(counts))
 
 
 def shard_counts(

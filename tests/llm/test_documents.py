@@ -198,6 +198,18 @@ def test_permutations_and_draws():
 # --- Quality rules --------------------------------------------------------------------
 
 
+def test_halves_of_very_many_slots_are_drawn():
+    counts = np.array([700_000_000, 1_300_000_000, 0, 5, 10_000])
+    total = int(counts.sum())
+    take = total // 4
+    halves = np.array([mixing._halve(counts, take, np.random.default_rng(i)) for i in range(400)])
+    assert (halves.sum(1) == take).all() and (halves >= 0).all() and (halves <= counts).all()
+    share = counts / total
+    spread = np.sqrt(take * share * (1 - share) * (total - take) / (total - 1))
+    assert (abs(halves.mean(0) - take * share) <= 4 * spread / 20).all()
+    assert np.allclose(halves.std(0)[[0, 1, 4]], spread[[0, 1, 4]], rtol=0.15)
+
+
 def measures(text):
     words = _WORD.findall(text or "")
     three = list(zip(words, words[1:], words[2:]))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.chat import formatted_digests
+from rollcall.llm.decontamination import contamination
+from rollcall.llm.fill_middle import round_trip
 from rollcall.llm.html_tree import extracted
 from rollcall.llm.line_windows import without_repeated_windows
+from rollcall.llm.merkle import manifest_report
 from rollcall.llm.mixing import mix_counts
 from rollcall.llm.multi_index import near_vectors
 from rollcall.llm.packing import pack
@@ -80,6 +83,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and read back."""
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf, its proof, and whether the proof shows tampering."""
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document has in common with test items."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 _CHAT_SQL = r"""
@@ -161,7 +182,180 @@ _LINES_SQL = """
     LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+_MIDDLE_SQL = """
+    WITH drawn AS (
+        SELECT doc_id,
+               COALESCE(text, '') AS text,
+               regexp_extract_all(COALESCE(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+               sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ),
+    numbers AS (
+        SELECT doc_id, text, units, len(units) AS n,
+               CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS x,
+               CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm'
+                    ELSE 'psm' END AS form
+        FROM drawn
+    ),
+    parts AS (
+        SELECT doc_id, text, n, form,
+               array_to_string(list_slice(units, 1, LEAST(x, y)), '') AS prefix,
+               array_to_string(list_slice(units, LEAST(x, y) + 1, GREATEST(x, y)), '') AS middle,
+               array_to_string(list_slice(units, GREATEST(x, y) + 1, n), '') AS suffix
+        FROM numbers
+    )
+    SELECT doc_id,
+           CAST(n AS BIGINT) AS n,
+           form,
+           CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text
+                            WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts
+"""
+
+_MERKLE_SQL = """
+    WITH RECURSIVE fields AS (
+        SELECT ROW_NUMBER() OVER () AS r, doc_id, lang,
+               COALESCE(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+                   || COALESCE(strlen(source) || ':' || source, '-')
+                   || COALESCE(strlen(lang) || ':' || lang, '-') AS head,
+               n_chars,
+               COALESCE(strlen(text) || ':' || text, '-') AS tail,
+               -- The checksum of the id's digits, bit by bit.
+               xor(4294967295, list_reduce(
+                   list_prepend(CAST(4294967295 AS BIGINT),
+                                list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                   lambda crc, byte: list_reduce(
+                       list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+                       lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 7 = 0 AS struck
+        FROM documents
+    ),
+    digests AS (
+        SELECT r, doc_id, lang,
+               sha256(head || COALESCE(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+               CASE WHEN struck
+                    THEN sha256(head || COALESCE(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail)
+               END AS changed
+        FROM fields
+    ),
+    leaves AS (
+        SELECT *,
+               DENSE_RANK() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+               ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               COUNT(*) OVER (PARTITION BY lang) AS n
+        FROM digests
+    ),
+    nodes AS (
+        SELECT 0 AS level, tree, i, n, leaf AS digest FROM leaves
+        UNION ALL
+        SELECT level + 1, tree, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+        FROM nodes
+        WHERE n > 1
+        GROUP BY level, tree, i // 2, n
+    ),
+    subroots AS (
+        SELECT tree, digest, COUNT(*) OVER () AS n FROM nodes WHERE n = 1
+    ),
+    upper_nodes AS (
+        SELECT 0 AS level, tree AS i, n, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i))
+        FROM upper_nodes
+        WHERE n > 1
+        GROUP BY level, i // 2, n
+    ),
+    climb AS (
+        SELECT r, 0 AS level, tree, i, n, COALESCE(changed, leaf) AS folded, '' AS proof FROM leaves
+        UNION ALL
+        SELECT c.r, c.level + 1, c.tree, c.i // 2, (c.n + 1) // 2,
+               sha256(CASE WHEN c.i % 2 = 0 THEN c.folded || COALESCE(s.digest, '') ELSE s.digest || c.folded END),
+               c.proof || COALESCE(s.digest, '')
+        FROM climb c
+        LEFT JOIN nodes s ON s.level = c.level AND s.tree = c.tree AND s.i = xor(c.i, 1)
+        WHERE c.n > 1
+    ),
+    upper_climb AS (
+        SELECT c.r, 0 AS level, c.tree AS i, s.n, c.folded, c.proof
+        FROM climb c
+        JOIN subroots s ON s.tree = c.tree
+        WHERE c.n = 1
+        UNION ALL
+        SELECT c.r, c.level + 1, c.i // 2, (c.n + 1) // 2,
+               sha256(CASE WHEN c.i % 2 = 0 THEN c.folded || COALESCE(s.digest, '') ELSE s.digest || c.folded END),
+               c.proof || COALESCE(s.digest, '')
+        FROM upper_climb c
+        LEFT JOIN upper_nodes s ON s.level = c.level AND s.i = xor(c.i, 1)
+        WHERE c.n > 1
+    )
+    SELECT l.doc_id, l.leaf, s.digest AS subroot, top.digest AS root,
+           sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = top.digest AS verified
+    FROM leaves l
+    JOIN subroots s ON s.tree = l.tree
+    JOIN upper_climb u ON u.r = l.r AND u.n = 1
+    JOIN upper_nodes top ON top.n = 1
+"""
+
+_BENCHMARK_SQL = r"""
+    WITH items AS (
+        SELECT item_id, regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark
+    ),
+    sized AS (
+        SELECT item_id, words, LEAST(len(words), 10) AS width FROM items WHERE len(words) > 0
+    ),
+    windows AS (
+        SELECT DISTINCT item_id, width, array_to_string(list_slice(words, pos, pos + width - 1), ' ') AS said
+        FROM (SELECT item_id, words, width, UNNEST(range(1, len(words) - width + 2)) AS pos FROM sized)
+    ),
+    docs AS (
+        SELECT doc_id, COALESCE(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+        FROM documents
+    ),
+    places AS (
+        SELECT doc_id, pos, width, array_to_string(list_slice(words, pos, pos + width - 1), ' ') AS said
+        FROM (SELECT doc_id, words, width, UNNEST(range(1, len(words) - width + 2)) AS pos
+              FROM docs, (SELECT DISTINCT width FROM windows))
+    ),
+    hits AS (
+        SELECT p.doc_id, p.pos, p.width, w.item_id
+        FROM places p
+        JOIN windows w ON w.width = p.width AND w.said = p.said
+    ),
+    hit_words AS (
+        SELECT doc_id, COUNT(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, UNNEST(range(pos, pos + width)) AS place FROM (SELECT DISTINCT doc_id, pos, width FROM hits))
+        GROUP BY doc_id
+    ),
+    hit_items AS (
+        SELECT doc_id, COUNT(*) AS n_items, string_agg(said_id, ',' ORDER BY said_id) AS ids
+        FROM (SELECT DISTINCT doc_id, COALESCE(CAST(item_id AS VARCHAR), '') AS said_id FROM hits)
+        GROUP BY doc_id
+    )
+    SELECT d.doc_id,
+           CAST(len(d.words) AS BIGINT) AS n_words,
+           CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
+           CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items,
+           sha256(COALESCE(ids, '')) AS items_sha256,
+           COALESCE(n_hit, 0) > 0 AS contaminated
+    FROM docs d
+    LEFT JOIN hit_words w ON w.doc_id = d.doc_id
+    LEFT JOIN hit_items i ON i.doc_id = d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _CHAT_SQL,
     "op7_line_dedup": _LINES_SQL,
+    "op11_fill_in_middle": _MIDDLE_SQL,
+    "op12_merkle_manifest": _MERKLE_SQL,
+    "op13_benchmark_decontamination": _BENCHMARK_SQL,
 }

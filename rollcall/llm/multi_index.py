@@ -1,13 +1,17 @@
 """Near-duplicate vectors through an inverted multi-index.
 
-Each half of a vector has a codebook of its own; a pair of codewords is a cell. A vector
-lies in the cell of its nearest codewords and visits cells in ascending order of the sum of
-both squared distances. How many it visits is set so that a sample reaches a target recall,
-compared with all other vectors by brute force and with planted ones; pairs that meet are then compared exactly.
+Each half of a vector has a codebook of its own; a pair of codewords is a cell, and the
+grid of cells grows with the vectors. A vector lies in the cell of its nearest codewords
+and visits the nearest cells in multi-sequence order, by the sum over both halves of its
+squared distance from the border of the codeword's region. Two vectors meet if either
+visits the other's cell. How many cells are visited is set so that sampled vectors reach a
+target recall, of what they link with among all others and of vectors planted around them;
+pairs that meet are then compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,19 +24,25 @@ from rollcall.llm.scratch import written
 
 THRESHOLD = 0.93
 TARGET_RECALL = 0.9995
+#: Cells visited, for each that the sample needs for the target.
+MARGIN = 1.5
 
-#: Vectors that fit the codebooks, and vectors that measure recall against all others.
-FIT_VECTORS = 10_000
+#: The most vectors that fit the codebooks, and vectors that measure recall.
+FIT_VECTORS = 1 << 16
 PROBE_VECTORS = 400
-#: Vectors planted at the threshold around each probe.
+#: Vectors planted at the threshold around each probe, and links of a probe that are
+#: looked at among the vectors of one batch.
 PLANTED = 16
+LINKS_LOOKED_AT = 64
 LLOYD_ROUNDS = 8
-MIN_CELLS = 16
-MAX_CODEWORDS = 256
-VECTORS_PER_CELL = 8
+#: Codewords double where a label's cells would hold more vectors than this on average,
+#: up to a grid of 16.8 million cells.
+VECTORS_PER_CELL = 16
+MAX_CODEWORDS = 4096
+#: About how many vectors a unit of neighbouring cells holds, and how many visitors one task
+#: takes through it.
 BLOCK = 1024
-#: What moving a vector to a cell costs, in comparisons of two vectors.
-ROW_COST = 200
+ASK_BLOCK = 8192
 
 
 def units(vectors: list | np.ndarray) -> np.ndarray:
@@ -47,28 +57,68 @@ def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fitted(x: np.ndarray, k: int) -> np.ndarray:
-    """Codewords by Lloyd's rounds, from evenly spaced vectors of the sample."""
-    words = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
+    """Codewords by Lloyd's rounds, from vectors drawn by their squared distance to those
+    drawn before; neighbours in number are near in direction."""
+    r = np.random.default_rng(k)
+    k = min(k, len(x))
+    words = np.empty((k, x.shape[1]))
+    words[0] = x[0]
+    gap = ((x - words[0]) ** 2).sum(1)
+    for i in range(1, k):
+        total = gap.sum()
+        words[i] = x[min(int(np.searchsorted(np.cumsum(gap), r.random() * total)), len(x) - 1)]
+        gap = np.minimum(gap, ((x - words[i]) ** 2).sum(1))
     for _ in range(LLOYD_ROUNDS):
-        near = distances(x, words).argmin(1)
-        size = np.bincount(near, minlength=len(words))
+        near = nearest(x, words)
+        size = np.bincount(near, minlength=k)
         total = np.zeros_like(words)
         np.add.at(total, near, x)
         words = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], words)
-    return words
+    middle = words - words.mean(0)
+    return words[np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")]
 
 
 def distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] - 2 * x @ words.T + (words**2).sum(1)
 
 
+def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The codeword of each row, a few rows at a time."""
+    step = max(1, (1 << 22) // len(words))
+    return np.concatenate([distances(x[at : at + step], words).argmin(1) for at in range(0, len(x), step)])
+
+
+class Book:
+    """Codewords of one half."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.apart = np.sqrt(np.maximum(distances(words, words), 1e-12))
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def look(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codeword of each row, and its squared distance from the region of each.
+
+        What lies in another codeword's region is at least as far away as the plane half way
+        between the two. The own codeword comes before all that are as near.
+        """
+        d = distances(x, self.words)
+        own = d.argmin(1)
+        at = np.arange(len(x))
+        border = np.maximum(0.0, (d - d[at, own][:, None]) / (2 * self.apart[own])) ** 2
+        border[at, own] = -1e-9
+        return own, border
+
+
 def sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
     """The first ``cells`` cells of each row's multi-sequence, as first * len(second) + second.
 
     The cell at ranks (a, b) of both halves comes after all cells at lower ranks, so it is
     among the first only if there are fewer than ``cells`` of those.
     """
-    r1, r2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
+    r1, r2 = d1.argsort(1, kind="stable")[:, :cells], d2.argsort(1, kind="stable")[:, :cells]
     k1, k2 = d1.shape[1], d2.shape[1]
     a, b = (g.ravel() for g in np.meshgrid(np.arange(min(k1, cells)), np.arange(min(k2, cells)), indexing="ij"))
     able = (a + 1) * (b + 1) <= cells
@@ -78,40 +128,36 @@ def sequence(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
     return np.take_along_axis(r1, a[order], 1) * k2 + np.take_along_axis(r2, b[order], 1)
 
 
-def _books(sample: dict[int, np.ndarray], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Codebooks of ``k`` words for each length of vector."""
-    return {n: tuple(fitted(h, k) for h in halves(x)) for n, x in sample.items()}
+def codewords(largest: int) -> int:
+    """Codewords of each half, where ``largest`` vectors share a label."""
+    return min(MAX_CODEWORDS, 1 << max(0, round(math.log2(max(1.0, largest / VECTORS_PER_CELL)) / 2)))
+
+
+def _sampled(clean: DataFrame, total: int, n: int, salt: int) -> pa.Table:
+    """``n`` rows by a hash of their id; few more than those come out of the tasks."""
+    share = F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(1 << 30)) < F.lit(min(1 << 30, int(2 * (n + 1000) / total * (1 << 30)) + 1))
+    by = F.xxhash64("rep", F.lit(salt + 1))
+    return clean.where(share).orderBy(by, "rep").limit(n).select("label", "rep", "embedding").toArrow()
 
 
-def _search(clean: DataFrame, largest: int, threshold: float) -> tuple[dict, int]:
-    """Codebooks, and how many cells to visit.
+def search(clean: DataFrame, largest: int, total: int, threshold: float = THRESHOLD) -> tuple[dict, int]:
+    """Codebooks for each length of vector, and how many cells to visit.
 
-    Of the sizes of codebooks, each with the cells it needs, that which costs least where
-    ``largest`` vectors share a label is taken: small ones compare more, large ones move more.
+    ``clean`` has ``rep``, ``label`` and ``embedding``, ``total`` rows of it; ``largest`` of
+    them share a label.
     """
-    rows = clean.orderBy(F.xxhash64("rep"), "rep").limit(FIT_VECTORS).select("embedding").collect()
+    k = codewords(largest)
     by_length: dict[int, list] = {}
-    for r in rows:
-        by_length.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    sample = {n: units(v) for n, v in by_length.items()}
-    rows = clean.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(PROBE_VECTORS).select("label", "rep", "embedding").collect()
+    for v in _sampled(clean, total, min(FIT_VECTORS, max(10_000, 16 * k)), 0)["embedding"].to_pylist():
+        by_length.setdefault(len(v), []).append(v)
+    books = {n: tuple(Book(fitted(h, k)) for h in halves(units(v))) for n, v in by_length.items()}
     grouped: dict[tuple, list] = {}
-    for r in rows:
-        if len(r["embedding"]) in sample:
+    for r in _sampled(clean, total, PROBE_VECTORS, 2).to_pylist():
+        if len(r["embedding"]) in books:
             grouped.setdefault((r["label"], len(r["embedding"])), []).append(r)
     probes = {at: (units([r["embedding"] for r in some]), np.array([r["rep"] for r in some])) for at, some in grouped.items()}
-    k = min(MAX_CODEWORDS, 1 << max(1, int(np.ceil(np.log2(max(1.0, largest / VECTORS_PER_CELL)) / 2))))
-    best = None
-    while k > 1:
-        books = _books(sample, k)
-        cells = max(MIN_CELLS, 2 * _planted_need(probes, books, threshold))
-        visited = min(cells, k * k)
-        cost = visited * (ROW_COST * max(1, largest / k**2 / BLOCK) + largest / k**2)
-        if best is None or cost < best[0]:
-            best = cost, books, cells
-        k //= 2
-    _, books, cells = best
-    return books, max(cells, 2 * _met_need(clean, probes, books, threshold))
+    need = max(_planted_need(probes, books, threshold), _met_need(clean, probes, books, threshold))
+    return books, min(k * k, max(1, math.ceil(MARGIN * need)))
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,9 +169,11 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
     one to begin with, and count as often as they occur. Rows without an id are in no
     component and kept. An empty table gives no rows.
 
-    Vectors meet in units of a label, a cell, a block of its vectors and a block of its
-    visitors; blocks hold about ``BLOCK`` rows, so a cell with a large share of all vectors
-    is dealt over many tasks.
+    Neighbouring cells make a unit, and a vector is sent once to each unit in which it visits
+    any cell; there it is compared with the cells it visits. A unit with many vectors or
+    visitors is dealt into blocks of about ``BLOCK`` and ``ASK_BLOCK``, so a cell with a large
+    share of all vectors is dealt over many tasks. The links of all vectors of a repeated id
+    are added up, and they share a component.
 
     Returns ``vec_id, n_links, component_id, kept``.
     """
@@ -141,65 +189,87 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFra
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")),
         "vectors",
     )
-    by_label = clean.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"]
-    if by_label is None:
+    sizes = clean.groupBy("label").count().agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
+    if sizes["largest"] is None:
         return _result(rows, good, clean.select(F.col("rep").alias("node"), F.lit(0).alias("n_links"), F.col("rep").alias("component")))
-    books, cells = _search(clean, by_label, threshold)
+    books, cells = search(clean, sizes["largest"], sizes["total"], threshold)
+    k = codewords(sizes["largest"])
+    # Cells side by side in a row of the grid that share a unit.
+    side_by_side = max(1, min(k, BLOCK * k * k // sizes["largest"]))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for length, part in batch.groupby(batch["embedding"].map(len)):
                 if length in books:
-                    d = [distances(h, b) for h, b in zip(halves(units(part["embedding"])), books[length])]
-                    seen = sequence(*d, cells)
+                    (c1, d1), (c2, d2) = (b.look(h) for h, b in zip(halves(units(part["embedding"])), books[length]))
+                    wide = len(books[length][1])
+                    own, seen = c1 * wide + c2, sequence(d1, d2, cells)
                 else:
-                    seen = np.zeros((len(part), 1), int)  # a rare length is searched as one cell
-                yield part.assign(length=length, visits=list(seen.astype(np.int64)))[
-                    ["label", "length", "rep", "copies", "embedding", "visits"]
-                ]
+                    # A length too rare to be in the sample is searched as one cell.
+                    wide, own, seen = 1, np.zeros(len(part), int), np.zeros((len(part), 1), int)
+                seen.sort(axis=1)
+                first, per_row = seen // wide * wide, -(-wide // side_by_side)
+                unit = seen // wide * per_row + (seen - first) // side_by_side
+                cuts = [np.flatnonzero(np.diff(u)) + 1 for u in unit]
+                yield pd.DataFrame(
+                    {
+                        "label": part["label"],
+                        "length": length,
+                        "rep": part["rep"],
+                        "copies": part["copies"],
+                        "embedding": part["embedding"],
+                        "cell": own,
+                        "unit": own // wide * per_row + own % wide // side_by_side,
+                        "visits": [
+                            [{"unit": u[i], "cells": c} for i, c in zip([0, *at], np.split(s, at))]
+                            for s, u, at in zip(seen, unit, cuts)
+                        ],
+                    }
+                )
 
     kind = clean.schema["label"].dataType.simpleString()
     placed = written(
         clean.mapInPandas(
-            visit, f"label {kind}, length int, rep long, copies long, embedding array<float>, visits array<long>"
+            visit,
+            f"label {kind}, length int, rep long, copies long, embedding array<float>, cell int, unit int, "
+            "visits array<struct<unit: int, cells: array<int>>>",
         ),
         "placed",
     )
-    owned = placed.select("label", "length", "rep", "copies", "embedding", F.col("visits")[0].alias("cell"))
-    asking = placed.select("label", "length", "rep", "embedding", F.explode("visits").alias("cell"))
-    at = ["label", "length", "cell"]
-    # One row per cell: into how many blocks its vectors and its visitors are dealt.
-    blocks = (
+    facts = ["label", "length", "rep", "copies", "embedding", "cell"]
+    owned = placed.select(*facts, "unit", F.flatten("visits.cells").alias("cells"))
+    asking = placed.select(*facts, F.explode("visits").alias("visit")).select(*facts, "visit.unit", "visit.cells")
+    at = ["label", "length", "unit"]
+    # One row per unit: into how many blocks its vectors and its visitors are dealt.
+    blocks = written(
         owned.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("own_blocks"))
-        .join(asking.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("ask_blocks")), at)
+        .join(asking.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / ASK_BLOCK).alias("ask_blocks")), at),
+        "blocks",
     )
 
     def dealt(side: int, some: DataFrame, mine: str, others: str) -> DataFrame:
         own, other = F.pmod(F.xxhash64("rep"), mine), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(others) - 1))
         out = some.join(blocks, at).select("*", own.alias("mine"), other.alias("other"))
-        pair = ("mine", "other") if side == 0 else ("other", "mine")
-        copies = F.col("copies") if side == 0 else F.lit(0).cast("bigint")
-        return out.select(
-            F.xxhash64(*at, *pair).alias("unit"),
-            F.struct(*at, *(F.col(c).alias(n) for c, n in zip(pair, ("own", "ask")))).alias("exact"),
-            F.lit(side).alias("side"), "rep", copies.alias("copies"), "embedding",
-        )
+        block = F.col("mine") * F.col(others) + F.col("other") if side == 0 else F.col("other") * F.col(mine) + F.col("mine")
+        return out.select(*at, block.alias("block"), F.lit(side).cast("byte").alias("side"), "rep", "copies", "cell", "cells", "embedding")
 
+    key = [*at, "block"]
     meeting = dealt(0, owned, "own_blocks", "ask_blocks").unionByName(dealt(1, asking, "ask_blocks", "own_blocks"))
     found = written(
-        meeting.repartition("unit")
-        .sortWithinPartitions("exact", "side", "rep")
-        .select(F.xxhash64("exact").alias("exact_hash"), "side", "rep", "copies", "embedding")
+        meeting.repartition(*key)
+        .sortWithinPartitions(*key, "side", "rep")
+        .select(F.struct(*key).alias("key"), "side", "rep", "copies", "cell", "cells", "embedding")
         .mapInArrow(_compare(threshold), "a long, b long, n long"),
         "found",
     )
-    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg((F.sum("n") - 1).alias("n_links"))
+    links = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("met"))
     known = components(found.where("b is not null").select("a", "b"))
     facts = (
-        clean.select(F.col("rep").alias("node"))
+        clean.groupBy(F.col("rep").alias("node")).agg(F.count(F.lit(1)).alias("vectors"))
         .join(links, "node", "left")
         .join(known, "node", "left")
-        .select("node", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        # Every vector meets itself, in its own cell.
+        .select("node", (F.coalesce("met", "vectors") - F.col("vectors")).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
     return _result(rows, good, clean.select("label", "embedding", F.col("rep").alias("node")).join(facts, "node"))
 
@@ -240,10 +310,19 @@ def planted(x: np.ndarray, threshold: float, n: int) -> np.ndarray:
     return units((threshold * x + np.sqrt(1 - threshold**2) * ways).transpose(1, 0, 2).reshape(n * m, size))
 
 
-def positions(d1: np.ndarray, d2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    """Where cells (c1, c2) stand in the sequence of a vector at these distances."""
-    order = np.sort((d1[:, None] + d2[None, :]).ravel())
-    return np.searchsorted(order, d1[c1] + d2[c2])
+def position(d1: np.ndarray, d2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """Where cell (c1, c2) of each row stands in the sequence of its distances."""
+    at = np.arange(len(d1))
+    reach = d1[at, c1] + d2[at, c2]
+    low, high = np.sort(d1, 1), np.sort(d2, 1)
+    return np.array([np.searchsorted(h, r - l - 1e-12).sum() for l, h, r in zip(low, high, reach)], np.int64)
+
+
+def either_position(books: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far in the sequence of one of the two the other's cell stands, row by row."""
+    (a1, x1), (a2, x2) = (b.look(h) for h, b in zip(halves(x), books))
+    (b1, y1), (b2, y2) = (b.look(h) for h, b in zip(halves(y), books))
+    return np.minimum(position(x1, x2, b1, b2), position(y1, y2, a1, a2))
 
 
 def _reached(position: np.ndarray, weight: np.ndarray) -> int:
@@ -262,10 +341,9 @@ def _planted_need(probes: dict, books: dict, threshold: float) -> int:
     at = [np.zeros(0, np.int64)]
     for (_, length), (x, _) in probes.items():
         if length > 1:
-            d = [distances(h, b) for h, b in zip(halves(x), books[length])]
             y = planted(x, threshold, PLANTED)
-            cells = [distances(h, b).argmin(1).reshape(len(x), -1) for h, b in zip(halves(y), books[length])]
-            at += [positions(*p) for p in zip(*d, *cells)]
+            for some in range(0, len(y), 512):
+                at.append(either_position(books[length], np.repeat(x, PLANTED, 0)[some : some + 512], y[some : some + 512]))
     every = np.concatenate(at)
     return _reached(every, np.ones(len(every)))
 
@@ -276,28 +354,28 @@ def _met_need(clean: DataFrame, probes: dict, books: dict, threshold: float) ->
     The probes are compared with all vectors. Those with a partner weigh the same, however
     many each has. What comes to the driver is a weight for each position in the sequence.
     """
-    sums: dict[tuple, tuple] = {}
-    n_probes = 0
-    for (label, length), (x, reps) in probes.items():
-        sums[label, length] = (x, *(distances(h, b) for h, b in zip(halves(x), books[length])), reps, n_probes)
+    numbered, n_probes = {}, 0
+    for at, (x, reps) in probes.items():
+        numbered[at] = (x, reps, n_probes)
         n_probes += len(x)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (label, length), part in batch.groupby(["label", batch["embedding"].map(len)]):
-                if (label, length) not in sums:
+                if (label, length) not in numbered:
                     continue
-                x, d1, d2, reps, first = sums[label, length]
+                x, reps, first = numbered[label, length]
                 y = units(part["embedding"])
-                cell = [distances(h, b).argmin(1) for h, b in zip(halves(y), books[length])]
-                probe, row = np.nonzero((x @ y.T >= threshold) & (reps[:, None] != part["rep"].to_numpy()))
-                for p in np.unique(probe):
-                    at = row[probe == p]
-                    values, counts = np.unique(positions(d1[p], d2[p], cell[0][at], cell[1][at]), return_counts=True)
-                    yield pd.DataFrame({"probe": first + p, "position": values, "n": counts})
+                near = (x @ y.T >= threshold) & (reps[:, None] != part["rep"].to_numpy())
+                probe, row = np.nonzero(near & (near.cumsum(1) <= LINKS_LOOKED_AT))
+                if len(probe):
+                    at = either_position(books[length], x[probe], y[row])
+                    # What was not looked at stands where the rest does.
+                    each = near.sum(1)[probe] / np.minimum(near.sum(1)[probe], LINKS_LOOKED_AT)
+                    yield pd.DataFrame({"probe": first + probe, "position": at, "n": each.astype(float)})
 
     ranked = (
-        clean.select("label", "rep", "embedding").mapInPandas(rank, "probe long, position long, n long")
+        clean.select("label", "rep", "embedding").mapInPandas(rank, "probe long, position long, n double")
         .groupBy("probe", "position").agg(F.sum("n").alias("n"))
     )
     weight = F.col("n") / F.sum("n").over(Window.partitionBy("probe"))
@@ -305,52 +383,98 @@ def _met_need(clean: DataFrame, probes: dict, books: dict, threshold: float) ->
     return _reached(np.array([r["position"] for r in seen], np.int64), np.array([r["weight"] for r in seen]))
 
 
+class _Unit:
+    """The vectors of a unit's block, by cell."""
+
+    def __init__(self, rep: np.ndarray, copies: np.ndarray, cell: np.ndarray, visits: list[np.ndarray], x: np.ndarray) -> None:
+        order = np.argsort(cell, kind="stable")
+        self.rep, self.copies, self.x = rep[order], copies[order], x[order]
+        values, first = np.unique(cell[order], return_index=True)
+        self.spans = dict(zip(values.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)])))
+        row = np.repeat(np.arange(len(order)), [len(visits[i]) for i in order])
+        flat = np.concatenate([visits[i] for i in order])
+        by_cell = np.argsort(flat, kind="stable")
+        self._visited, self._visitor = flat[by_cell], row[by_cell]
+
+    def visits(self, cell: int) -> np.ndarray:
+        """Which of the vectors visit a cell themselves."""
+        lo, hi = np.searchsorted(self._visited, [cell, cell + 1])
+        out = np.zeros(len(self.rep), bool)
+        out[self._visitor[lo:hi]] = True
+        return out
+
+
 def _compare(threshold: float):
     """Compare the members of each unit, which come first, with its visitors.
 
-    Gives a row (visitor, null, copies found) for each visitor that is near anything, and
-    rows (a, b, 0) that connect what is linked within the unit.
+    Gives a row (vector, null, copies found) for each vector that is near anything, and rows
+    (a, b, 0) that connect what is linked within the unit. A pair counts for the visitor;
+    where the other does not visit back, it counts for that one here as well.
     """
 
+    def met(unit: _Unit, rep: np.ndarray, copies: np.ndarray, cell: np.ndarray, cells: list[np.ndarray], x: np.ndarray):
+        n = np.zeros(len(rep), np.int64)
+        credit = np.zeros(len(unit.rep), np.int64)
+        asked = np.concatenate(cells)
+        who = np.repeat(np.arange(len(rep)), [len(c) for c in cells])
+        order = np.argsort(asked, kind="stable")
+        asked, who = asked[order], who[order]
+        bounds = np.flatnonzero(np.r_[True, asked[1:] != asked[:-1], True])
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            span = unit.spans.get(int(asked[lo]))
+            if span is None:
+                continue
+            some, here = who[lo:hi], slice(*span)
+            for at in range(0, len(some), BLOCK):
+                part = some[at : at + BLOCK]
+                near = x[part] @ unit.x[here].T >= threshold
+                hit = np.flatnonzero(near.any(1))
+                if not len(hit):
+                    continue
+                near, part = near[hit], part[hit]
+                n[part] += near @ unit.copies[here]
+                for own in np.unique(cell[part]):
+                    back = unit.visits(own)[here]
+                    if not back.all():
+                        mine = cell[part] == own
+                        credit[here] += (near[mine] & ~back).T @ copies[part[mine]]
+                first = near.argmax(1)
+                members = unit.rep[here]
+                yield rep[part], members[first], np.zeros(len(part), np.int64)
+                q, m = np.nonzero(near)
+                joined = np.unique(np.stack([m, first[q]], 1), axis=0)
+                joined = joined[joined[:, 0] != joined[:, 1]]
+                yield members[joined[:, 0]], members[joined[:, 1]], np.zeros(len(joined), np.int64)
+        for ids, count in ((rep, n), (unit.rep, credit)):
+            yield ids[count > 0], None, count[count > 0]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = None
-        ids: list[np.ndarray] = []
-        weights: list[np.ndarray] = []
-        points: list[np.ndarray] = []
+        key, held, unit = None, [], None
         for batch in batches:
-            exact = batch.column(0).to_numpy()
-            side = batch.column(1).to_numpy()
-            rep = batch.column(2).to_numpy()
-            copies = batch.column(3).to_numpy()
-            vectors = batch.column(4)
-            bounds = np.flatnonzero(np.r_[True, (exact[1:] != exact[:-1]) | (side[1:] != side[:-1])])
+            keys = batch.column(0)
+            changed = np.zeros(len(keys), bool)
+            for field in keys.flatten():
+                field = field.to_numpy(zero_copy_only=False)
+                changed[1:] |= field[1:] != field[:-1]
+            rep, copies, cell = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            side, vectors = batch.column(1).to_numpy(), batch.column(6)
+            bounds = np.flatnonzero(np.r_[True, changed[1:] | (side[1:] != side[:-1])])
             out: list[tuple[np.ndarray, np.ndarray | None, np.ndarray]] = []
-            for lo, hi in zip(bounds, [*bounds[1:], len(exact)]):
-                if exact[lo] != unit:
-                    unit, ids, weights, points = exact[lo], [], [], []
-                some = vectors.slice(lo, hi - lo)
-                x = some.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
+            for lo, hi in zip(bounds, [*bounds[1:], len(side)]):
+                this = keys[int(lo)].as_py()
+                if this != key:
+                    key, held, unit = this, [], None
+                x = vectors.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
+                lists = batch.column(5).slice(lo, hi - lo)
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                cells = np.split(lists.flatten().to_numpy(), ends[:-1])
                 if side[lo] == 0:
-                    ids.append(rep[lo:hi])
-                    weights.append(copies[lo:hi])
-                    points.append(x)
-                elif ids:
-                    here, count, y = np.concatenate(ids), np.concatenate(weights), np.concatenate(points)
-                    for at in range(0, len(x), BLOCK):
-                        near = x[at : at + BLOCK] @ y.T >= threshold
-                        asks = rep[lo + at : lo + at + BLOCK]
-                        n = near @ count
-                        hit = np.flatnonzero(n)
-                        if not len(hit):
-                            continue
-                        out.append((asks[hit], None, n[hit]))
-                        first = near[hit].argmax(1)
-                        out.append((asks[hit], here[first], np.zeros(len(hit), np.int64)))
-                        q, m = np.nonzero(near[hit])
-                        joined = np.unique(np.stack([m, first[q]], 1), axis=0)
-                        joined = joined[joined[:, 0] != joined[:, 1]]
-                        out.append((here[joined[:, 0]], here[joined[:, 1]], np.zeros(len(joined), np.int64)))
+                    held.append((rep[lo:hi], copies[lo:hi], cell[lo:hi], cells, x))
+                elif held:
+                    if unit is None:
+                        unit = _Unit(*(np.concatenate(c) for c in list(zip(*held))[:3]), [c for h in held for c in h[3]], np.concatenate([h[4] for h in held]))
+                    out += met(unit, rep[lo:hi], copies[lo:hi], cell[lo:hi], cells, x)
             if out:
                 b = [pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()) for a, b, _ in out]
                 yield pa.RecordBatch.from_arrays(

@@ -227,28 +227,76 @@ def at_cosine(r, x, cosine):
     return cosine * x + math.sqrt(1 - cosine**2) * multi_index.units(way)
 
 
-def test_rare_links_are_found(spark):
+@pytest.mark.parametrize("wide", [0.4, 1.0])
+def test_the_index_prunes_and_finds_rare_and_crowded_links(spark, monkeypatch, wide):
+    """10,000 vectors of one label: rare planted pairs, and a tight group of 500."""
+    asked = []
+    search = multi_index.search
+    monkeypatch.setattr(multi_index, "search", lambda *a, **k: asked.append(search(*a, **k)) or asked[-1])
     r = np.random.default_rng(8)
-    x = topics(r, 8000, 1.0)
+    x = topics(r, 9400, wide)
     # Above the threshold by what single precision may take away.
-    x = np.concatenate([x, at_cosine(r, x[:80], 0.9301)])
-    links = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    x = np.concatenate([x, at_cosine(r, x[:100], 0.9301), at_cosine(r, np.repeat(x[100:101], 500, 0), 0.98)])
+    x = x.astype(np.float32).astype(float)
+    near = multi_index.units(x) @ multi_index.units(x).T >= 0.93
+    want = near.sum(1) - 1
     rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
-    got = multi_index.near_vectors(rows.repartition(4)).agg(F.sum("n_links")).first()[0]
-    assert 2 * len(links) * 0.999 <= got <= 2 * len(links)
+    got = {v["vec_id"]: v["n_links"] for v in multi_index.near_vectors(rows.repartition(4)).select("vec_id", "n_links").collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    books, cells = asked[0]
+    grid = math.prod(len(b) for b in books[64])
+    assert grid == 1024 and cells < 0.2 * grid
+    assert (got <= want).all()
+    crowded = np.arange(9500, len(x))
+    rare = np.setdiff1d(np.flatnonzero(want), crowded)
+    assert got[crowded].sum() >= 0.999 * want[crowded].sum()
+    assert got[rare].sum() >= 0.999 * want[rare].sum() and len(rare) >= 200
+
+
+def test_the_grid_grows_with_the_vectors():
+    sizes = [multi_index.codewords(10**e) for e in range(1, 10)]
+    assert sizes == sorted(sizes) and sizes[-1] == multi_index.MAX_CODEWORDS
+    for n in (10**3, 10**4, 10**5, 10**6, 10**7, 10**8):
+        cells = multi_index.codewords(n) ** 2
+        assert n / cells <= 2 * multi_index.VECTORS_PER_CELL
+        assert multi_index.codewords(100 * n) >= min(multi_index.MAX_CODEWORDS, 8 * multi_index.codewords(n))
 
 
 @pytest.mark.parametrize("wide", [0.4, 1.0])
-def test_visits_of_many_cells_reach_vectors_at_the_threshold(wide):
+def test_visits_of_either_reach_vectors_at_the_threshold(wide):
     r = np.random.default_rng(9)
     x = topics(r, 10000, wide)
-    book = [multi_index.fitted(h, 256) for h in multi_index.halves(x)]
-    need = multi_index._planted_need({(1, 64): (x[:400], np.arange(400))}, {64: tuple(book)}, 0.93)
-    asks = x[1000:4000]
+    books = tuple(multi_index.Book(multi_index.fitted(h, 128)) for h in multi_index.halves(x))
+    need = multi_index._planted_need({(1, 64): (x[:400], np.arange(400))}, {64: books}, 0.93)
+    cells = math.ceil(multi_index.MARGIN * need)
+    asks = x[1000:3000]
     y = at_cosine(r, asks, 0.93)
-    seen = multi_index.sequence(*(multi_index.distances(h, b) for h, b in zip(multi_index.halves(asks), book)), 2 * need)
-    first, second = (multi_index.distances(h, b).argmin(1) for h, b in zip(multi_index.halves(y), book))
-    assert (seen == (first * 256 + second)[:, None]).any(1).mean() >= 0.998
+    met = np.zeros(len(asks), bool)
+    for one, other in ((asks, y), (y, asks)):
+        looked = [b.look(h) for h, b in zip(multi_index.halves(one), books)]
+        seen = multi_index.sequence(looked[0][1], looked[1][1], cells)
+        first, second = (b.look(h)[0] for h, b in zip(multi_index.halves(other), books))
+        met |= (seen == (first * 128 + second)[:, None]).any(1)
+        own = looked[0][0] * 128 + looked[1][0]
+        assert (seen[:, 0] == own).all()
+    assert met.mean() >= 0.999 and cells < 0.02 * 128**2
+
+
+def test_positions_are_those_of_the_sequence():
+    r = np.random.default_rng(4)
+    d1, d2 = r.random((20, 7)), r.random((20, 5))
+    c1, c2 = r.integers(0, 7, 20), r.integers(0, 5, 20)
+    seen = multi_index.sequence(d1, d2, 35)
+    assert multi_index.position(d1, d2, c1, c2).tolist() == [row.tolist().index(a * 5 + b) for row, a, b in zip(seen, c1, c2)]
+
+
+def test_ids_that_repeat_with_different_vectors(spark):
+    """Their links add up, and their components are one."""
+    east, north = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(1, 1, east), (1, 1, north), (2, 1, [1.0, 0.1, 0.0, 0.0]), (3, 1, [0.1, 1.0, 0.0, 0.0]), (4, 1, [0.0, 1.0, 0.1, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = Counter(map(tuple, multi_index.near_vectors(vectors).select("vec_id", "n_links", "component_id").collect()))
+    assert got == Counter([(1, 3, 1), (1, 3, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)])
 
 
 def test_multi_sequence_visits_the_nearest_cells_first():

@@ -1,9 +1,11 @@
 """Mixing sources to target weights.
 
-Every source is a stream of words, cut into blocks of one length. A source's target says
-how many blocks of it the mix takes; each output shard draws its counts, and every slot of
-a shard names a block through the source's own pseudorandom permutation. A block may be
-taken several times, each round of the permutation taking every block once.
+Every source is a stream of words, cut into blocks of ``BLOCK_WORDS``; only a stream's last
+block may be shorter. A source's target says how many blocks of it the mix takes; each
+output shard draws its counts, and every slot of a shard names a block through the source's
+own pseudorandom permutation. A block may be taken several times, each round of the
+permutation taking every block once; of the block that a source's last slot names, only as
+many words are taken as the target still asks for.
 """
 
 from __future__ import annotations
@@ -18,8 +20,7 @@ from rollcall.llm.scratch import written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-BLOCKS_PER_SOURCE = 8192
-MAX_BLOCK_WORDS = 2048
+BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 SEED = 20
 MAX_SOURCES = 1_000_000
@@ -111,31 +112,70 @@ def shard_counts(
         stack.append((lo, mid, left, before))
 
 
-def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
-    """A pseudorandom permutation of ``range(size)``, keyed, at ``index``.
+def _feistel(size: int, key: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    """Bits of a half, their mask and the keys of the rounds."""
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    return np.uint64(half), np.uint64((1 << half) - 1), np.random.default_rng([SEED, key]).integers(0, 2**63, 4, dtype=np.uint64)
+
+
+def _round(x: np.ndarray, key: np.uint64, mask: np.uint64) -> np.ndarray:
+    f = (x ^ key) * np.uint64(0x9E3779B97F4A7C15)
+    f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (f >> np.uint64(32)) & mask
+
+
+def permuted(index: np.ndarray, size: int, key: int, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of ``range(size)``, keyed, at ``index``; its inverse ``back``.
 
     Four Feistel rounds over the next even number of bits; values beyond ``size`` walk on
     until they fall inside.
     """
-    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
-    keys = np.random.default_rng([SEED, key]).integers(0, 2**63, 4, dtype=np.uint64)
+    half, mask, keys = _feistel(size, key)
 
     def once(x: np.ndarray) -> np.ndarray:
-        left, right = x >> np.uint64(half), x & mask
-        for k in keys:
-            f = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f >> np.uint64(32)) & mask)
-        return (left << np.uint64(half)) | right
-
-    x = once(index.astype(np.uint64))
+        left, right = x >> half, x & mask
+        for k in keys[::-1] if back else keys:
+            if back:
+                left, right = right ^ _round(left, k, mask), left
+            else:
+                left, right = right, left ^ _round(right, k, mask)
+        return (left << half) | right
+
+    x = once(np.asarray(index).astype(np.uint64))
     while (out := x >= np.uint64(size)).any():
         x[out] = once(x[out])
     return x.astype(np.int64)
 
 
-def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataFrame:
+def permutation_key(source: int, turn: int) -> int:
+    """Each round over a source's blocks has a permutation of its own."""
+    return source * (MAX_REPEATS + 1) + turn
+
+
+def slots_of(source: int, size: int, goal: float, block_words: int) -> tuple[int, int, int]:
+    """How many whole blocks a source fills, and block and length of the part after them.
+
+    Whole rounds take every word once. In the round after, blocks follow one another until
+    the next would be too long; of that, the first words are taken.
+    """
+    if not size:
+        return 0, 0, 0
+    blocks = -(-size // block_words)
+    rounds, rest = divmod(min(round(goal), MAX_REPEATS * size), size)
+    if not rest:
+        return rounds * blocks, 0, 0
+    key = permutation_key(source, rounds)
+    short = blocks * block_words - size  # what the last block lacks
+    last = int(permuted(np.array([blocks - 1]), blocks, key, back=True)[0])
+    whole = rest // block_words
+    if whole > last or (whole == last and rest - whole * block_words >= block_words - short):
+        whole = max((rest + short) // block_words, last + 1)
+        rest += short
+    part = rest - whole * block_words
+    return rounds * blocks + whole, int(permuted(np.array([whole]), blocks, key)[0]) if part else 0, part
+
+
+def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Which words of every row the mix takes.
 
     ``rows`` has ``source``, ``size``, ``row_hash`` and ``order_id``, and may have any other
@@ -145,8 +185,9 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataF
 
     Returns the columns of ``rows`` and ``source_size`` long, ``target`` double,
     ``block_words`` long, ``word_from`` long (words of the source's stream before the
-    row), ``first_block`` long and ``uses`` array<int>: how often the mix takes the blocks
-    that the row lies in, from ``first_block`` on.
+    row), ``first_block`` long, ``uses`` array<int>: how often the mix takes the blocks
+    that the row lies in, from ``first_block`` on, and ``part_from`` and ``part_to`` long:
+    the words of the stream that it takes once more than the rest of their block.
 
     The stream's order is by bucket of rows, then by the ``order_by`` columns inside, so
     that positions come from sums over buckets and a window within each; a source with a
@@ -163,17 +204,14 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataF
     known.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in known]
     goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(known))], MAX_REPEATS)
-    # Fixed within a source; short enough that rounding to whole blocks is a small share of it.
-    length = [min(max(-(-s // BLOCKS_PER_SOURCE), 1), MAX_BLOCK_WORDS) for s in sizes]
-    n_blocks = [-(-s // w) for s, w in zip(sizes, length)]
-    # The last block is short, so slots are counted by mean words per block.
-    n_slots = [min(round(g * b / s), MAX_REPEATS * b) if s else 0 for g, b, s in zip(goal, n_blocks, sizes)]
+    n_blocks = [-(-s // block_words) for s in sizes]
+    parts = [slots_of(i, s, g, block_words) for i, (s, g) in enumerate(zip(sizes, goal))]
     facts = spark.createDataFrame(
         [
-            (i, r["source"], s, g, w, -(-r["n_rows"] // ROWS_PER_BUCKET))
-            for i, (r, s, g, w) in enumerate(zip(known, sizes, goal, length))
+            (i, r["source"], s, g, block_words, block * block_words, block * block_words + part, -(-r["n_rows"] // ROWS_PER_BUCKET))
+            for i, (r, s, g, (_, block, part)) in enumerate(zip(known, sizes, goal, parts))
         ],
-        "source_no int, src string, source_size long, target double, block_words long, n_buckets long",
+        "source_no int, src string, source_size long, target double, block_words long, part_from long, part_to long, n_buckets long",
     )
 
     def deal(some: DataFrame) -> DataFrame:
@@ -191,7 +229,9 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataF
     # A source's buckets are one row for thousands of documents.
     placed = per_bucket.withColumn("bucket_from", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)))
 
-    counts = np.array(n_slots, np.int64)
+    # The slot of a part is drawn with the others; its words are known from the facts.
+    whole = np.array([n for n, _, _ in parts], np.int64)
+    counts = whole + np.array([part > 0 for *_, part in parts], np.int64)
     n_shards = -(-int(counts.sum()) // SHARD_SLOTS)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,13 +242,13 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED) -> DataF
             for shard, before, here in shard_counts(counts, SHARD_SLOTS, int(ids.min()), int(ids.max()) + 1, seed):
                 out = []
                 for i in np.flatnonzero(here):
-                    slot = np.arange(before[i], before[i] + here[i])
-                    # Each round over a source's blocks has a permutation of its own.
+                    slot = np.arange(before[i], min(before[i] + here[i], whole[i]))
                     for turn in np.unique(slot // n_blocks[i]):
                         at = slot[slot // n_blocks[i] == turn] % n_blocks[i]
-                        block = permuted(at, n_blocks[i], int(i) * (MAX_REPEATS + 1) + int(turn))
+                        block = permuted(at, n_blocks[i], permutation_key(int(i), int(turn)))
                         out.append(pd.DataFrame({"source_no": np.int32(i), "block": block}))
-                yield pd.concat(out).assign(shard=shard)
+                if out:
+                    yield pd.concat(out).assign(shard=shard)
 
     shards = spark.range(0, n_shards, 1, max(1, -(-n_shards // 16)))
     slots = shards.mapInPandas(draw, "source_no int, block long, shard long")
@@ -273,7 +313,7 @@ def _rows(docs: DataFrame, *keep: str) -> DataFrame:
 _OVERLAP = """
     aggregate(
         sequence(0, size(uses) - 1),
-        0L,
+        greatest(0L, least(part_to, word_from + size) - greatest(part_from, word_from)),
         (sum, i) -> sum + uses[i] * (
             least((first_block + i + 1) * block_words, word_from + size)
             - greatest((first_block + i) * block_words, word_from)
@@ -282,25 +322,38 @@ _OVERLAP = """
 """
 
 
-def mix_counts(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
+def mix_counts(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """How many words of every document the mix takes.
 
-    ``docs`` has ``doc_id``, ``text`` and ``source``. Null or empty texts have size 0 and
-    are returned with nothing taken; a null source is a source, the last one.
+    ``docs`` has ``doc_id``, ``text`` and ``source``; other columns are left aside. Null or
+    empty texts have size 0 and are returned with nothing taken; a null source is a source,
+    the last one. Null ids are ids like others. Rows that share an id are documents of their
+    own; equal rows may be taken unequally often, as they lie in different blocks. A source
+    gives its target rounded to whole words. An empty table gives no rows.
 
     Returns ``doc_id, size, source_size, target, taken``.
     """
     # Words are counted once; what is written is a few numbers per document.
     rows = written(_rows(docs, "doc_id"), "sizes")
-    plan = mix_plan(rows, rows, seed=seed)
+    plan = mix_plan(rows, rows, seed=seed, block_words=block_words)
     taken = F.when(F.col("size") > 0, F.expr(_OVERLAP)).otherwise(F.lit(0)).cast("long")
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def _cut(text: str, size: int, uses: list[int], length: int, start: int, first: int) -> Iterator[str]:
+def _cut(text: str, size: int, uses: list[int], length: int, start: int, first: int, part: tuple[int, int]) -> Iterator[str]:
     """The words that each round of the mix takes of one text, in order."""
-    most = max(uses, default=0)
-    if most == min(uses, default=0):
+    # Words of the text at which the number of uses may change, and uses from there on.
+    stretches = []
+    for i, n in enumerate(uses):
+        low, high = (min(max((first + i + j) * length - start, 0), size) for j in (0, 1))
+        more = max(low, min(part[0] - start, high)), min(high, max(part[1] - start, low))
+        if more[0] < more[1]:
+            stretches += [(low, more[0], n), (*more, n + 1), (more[1], high, n)]
+        else:
+            stretches.append((low, high, n))
+    stretches = [s for s in stretches if s[0] < s[1]]
+    most = max((n for *_, n in stretches), default=0)
+    if most == min((n for *_, n in stretches), default=0):
         for _ in range(most):
             yield text
         return
@@ -314,18 +367,17 @@ def _cut(text: str, size: int, uses: list[int], length: int, start: int, first:
     at.append(len(raw))
     for turn in range(1, most + 1):
         parts, open_at = [], None
-        for i, n in enumerate([*uses, 0]):
-            word = min(max((first + i) * length - start, 0), size)
+        for low, _, n in [*stretches, (size, size, 0)]:
             if n >= turn and open_at is None:
-                open_at = word
+                open_at = low
             elif n < turn and open_at is not None:
-                parts.append(raw[at[open_at] : at[word]].strip(b" \t\n\r\x0b\x0c").decode("utf-8", "surrogatepass"))
+                parts.append(raw[at[open_at] : at[low]].strip(b" \t\n\r\x0b\x0c").decode("utf-8", "surrogatepass"))
                 open_at = None
         if parts:
             yield "\n".join(parts)
 
 
-def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself, in the columns of ``docs``.
 
     A document has one row per round of the mix that takes any of it, with the words that
@@ -338,20 +390,21 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     # Any column may share a name with those of the plan.
     keep = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("__row")
     sizes_of = written(_rows(docs), "sizes")
-    plan = mix_plan(_rows(docs, keep, F.col("text").alias("__text")), sizes_of, seed=seed)
-    taken = plan.where((F.col("size") > 0) & (F.array_max("uses") > 0)).select(
-        "__row", "__text", "size", "uses", "block_words", "word_from", "first_block"
+    plan = mix_plan(_rows(docs, keep, F.col("text").alias("__text")), sizes_of, seed=seed, block_words=block_words)
+    once_more = F.greatest("part_from", "word_from") < F.least(F.col("part_to"), F.col("word_from") + F.col("size"))
+    taken = plan.where((F.col("size") > 0) & ((F.array_max("uses") > 0) | once_more)).select(
+        "__row", "__text", "size", "uses", "block_words", "word_from", "first_block", F.struct("part_from", "part_to").alias("part")
     )
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(1, 7)]
+            cols = [batch.column(i).to_pylist() for i in range(1, 8)]
             texts: list[str] = []
             origin: list[int] = []
-            for i, (text, size, uses, length, start, first) in enumerate(zip(*cols)):
-                for piece in _cut(text, size, uses, length, start, first):
+            for i, (text, size, uses, length, start, first, part) in enumerate(zip(*cols)):
+                for piece in _cut(text, size, uses, length, start, first, (part["part_from"], part["part_to"])):
                     texts.append(piece)
                     origin.append(i)
             rows = batch.column(0).take(pa.array(origin, pa.int64()))

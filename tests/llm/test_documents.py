@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import mixing, packing, probminhash, quality, suffix_family, token_prefix
 from rollcall.llm.line_windows import without_repeated_windows
-from rollcall.llm.queries import tokenizer_path
+from rollcall.llm.queries import table, tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -161,7 +161,72 @@ def test_mixing_comes_near_its_targets(documents, crowded):
         taken[at] += r_["taken"]
     assert len(got) == len(rows)
     for at in range(len(names)):
-        assert abs(taken[at] - goal[at]) <= max(2, 0.01 * goal[at])
+        assert taken[at] == round(goal[at])
+
+
+def mix_by_hand(spark, rows, block):
+    """Words taken of each row (id, text, source), from the permuted blocks one by one."""
+    import xxhash
+
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    # Null has the seed for a hash.
+    hashed = [42 if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed=42) for i, *_ in rows]
+    hashed = [h - 2**64 if h >= 2**63 else h for h in hashed]
+    size = [len(_WORD.findall(t or "")) for _, t, _ in rows]
+    goal = targets_by_hand([sum(n for n, r in zip(size, rows) if r[2] == s) for s in names])
+    taken = [0] * len(rows)
+    for number, name in enumerate(names):
+        mine = [k for k, r in enumerate(rows) if r[2] == name]
+        buckets = -(-len(mine) // mixing.ROWS_PER_BUCKET)
+        mine.sort(key=lambda k: (hashed[k] % buckets, hashed[k], rows[k][0] is not None, rows[k][0] or 0, size[k]))
+        stream = [k for k in mine for _ in range(size[k])]
+        blocks = [stream[i : i + block] for i in range(0, len(stream), block)]
+        left, turn = round(goal[number]), 0
+        while left:
+            for at in mixing.permuted(np.arange(len(blocks)), len(blocks), mixing.permutation_key(number, turn)):
+                for k in blocks[at][:left]:
+                    taken[k] += 1
+                left -= min(left, len(blocks[at]))
+            turn += 1
+    return Counter((rows[k][0], size[k], taken[k]) for k in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_every_documents_share_of_the_mix(spark, documents, crowded, monkeypatch, block):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 50)
+    r = random.Random(4)
+    rows = [(r.choice([i, i, None]), prose(i, r.choice([0, 3, 30, 300])), r.choice(["b", "b", "b", "a", "é", None])) for i in range(260)]
+    rows += [(7, "one two three", "a"), (7, "one two three", "a"), (7, "four", "a"), (900, None, "n"), (901, "lonely words", "c"), (902, prose(9, 4000), "b")]
+    docs = crowded(documents(rows)).drop("size")
+    got = Counter((x["doc_id"], x["size"], x["taken"]) for x in mixing.mix_counts(docs, block_words=block).collect())
+    assert got == mix_by_hand(spark, rows, block)
+    held = Counter()
+    for x in mixing.mixed_documents(docs, block_words=block).collect():
+        held[x["doc_id"]] += len(_WORD.findall(x["text"]))
+    want = Counter()
+    for (i, _, n), times in got.items():
+        want[i] += n * times
+    assert held == +want
+
+
+def test_blocks_have_one_length_and_pieces_are_blocks(spark):
+    """The same at every size of a source; a piece ends where a block or its document does."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    plan = mixing.mix_plan(*[mixing._rows(docs, "doc_id")] * 2)
+    assert [r[0] for r in plan.select("block_words").distinct().collect()] == [mixing.BLOCK_WORDS]
+    starts = {r["doc_id"]: (r["word_from"], r["size"], r["part_from"], r["part_to"]) for r in plan.collect()}
+    texts = {r["doc_id"]: _WORD.findall(r["text"]) for r in docs.collect()}
+    inner = 0
+    for r in mixing.mixed_documents(docs).collect():
+        start, size, *part = starts[r["doc_id"]]
+        # Blocks that do not follow one another stand on lines of their own.
+        words = _WORD.findall(r["text"])
+        if len(words) < size:
+            ends = {0, size, *(e - start for e in part)} | {b - start for b in range(0, start + size + 1, mixing.BLOCK_WORDS)}
+            cuts = [i for i in ends if 0 <= i <= size]
+            assert any(texts[r["doc_id"]][i : i + len(words)] == words for i in cuts) or "\n" in r["text"]
+            inner += 1
+    assert inner
 
 
 def test_mixed_documents_hold_what_is_counted(documents, crowded):
@@ -186,7 +251,9 @@ def test_mixed_documents_hold_what_is_counted(documents, crowded):
 def test_permutations_and_draws():
     for size in (1, 2, 3, 10, 1000):
         for key in (0, 7):
-            assert sorted(mixing.permuted(np.arange(size), size, key)) == list(range(size))
+            there = mixing.permuted(np.arange(size), size, key)
+            assert sorted(there) == list(range(size))
+            assert mixing.permuted(there, size, key, back=True).tolist() == list(range(size))
     counts = np.array([5000, 0, 300, 12345])
     shards = list(mixing.shard_counts(counts, 100, 0, 10**9, 1))
     assert sum(h.sum() for *_, h in shards) == counts.sum() and (sum(h for *_, h in shards) == counts).all()

@@ -10,9 +10,11 @@ likelihood on labelled pages, which are made here from layouts of many kinds.
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,13 @@ _MARK = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
-# What such an element holds is never text of the page.
-_DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "object", "canvas", "math", "select"}
+# What such an element holds is no markup; it goes on to its end tag, or to the page's end.
+_RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
+# The text in such an element is not shown as the page's. It ends with whatever it lies in;
+# blocks do not belong into those marked True, and end them.
+_MUTED = {"svg": True, "select": True, "canvas": False, "template": False}
+#: Elements deeper than this hang on the one at this depth, as browsers limit it too.
+MAX_DEPTH = 200
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _GROUPS = (
     ("html", "body"),
@@ -60,6 +67,7 @@ _ENDS = {
     "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "tbody"),
 }
 _WALLS = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html", "main", "aside", "nav"}
+_END_OF = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in _RAW}
 _HINTS = tuple(
     re.compile(p)
     for p in (
@@ -74,27 +82,77 @@ _HINTS = tuple(
         r"share|social|login|search|form|follow|bio|tags|meta|byline",
     )
 )
-_N_ELEMENT = 1 + _N_GROUPS + 1 + len(_HINTS) + 1 + 4
+_N_ELEMENT = 1 + _N_GROUPS + 1 + len(_HINTS) + 1 + 6
 _N_RUN = 7 + _N_GROUPS + 1
 N_FEATURES = _N_ELEMENT + _N_RUN
 
 
+class _Open:
+    """The open elements, and where in their order those of each tag stand."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.nodes: list[int] = []
+        self.at: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.blocks: list[int] = []
+        self.muted = 0
+
+    def push(self, tag: str, node: int) -> None:
+        here = len(self.tags)
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(here)
+        if tag in _WALLS:
+            self.walls.append(here)
+        if tag in _GROUP_OF:
+            self.blocks.append(here)
+        self.muted += tag in _MUTED
+
+    def shut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside it."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.at[tag].pop()
+            if tag in _WALLS:
+                self.walls.pop()
+            if tag in _GROUP_OF:
+                self.blocks.pop()
+            self.muted -= tag in _MUTED
+
+    def last(self, *tags: str) -> int:
+        """The innermost element with one of these tags, or 0 for the page."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def linked(self) -> bool:
+        return bool(self.at.get("a"))
+
+
 class Page:
     """The tree of one page: parents come before their children."""
 
-    __slots__ = ("parent", "depth", "features", "runs", "_links", "_chars", "_paragraphs", "_count")
+    __slots__ = ("parent", "depth", "features", "measures", "runs")
 
     def __init__(self, source: str) -> None:
         self.parent: list[int] = []
         self.depth: list[int] = []
-        self.features: list[list[float]] = []
+        # Of an element, the features that hold; of a run, its measures and their place.
+        self.features: list[list[int]] = []
+        self.measures: list[tuple[float, ...]] = []
         self.runs: list[tuple[int, str]] = []
         self._read(source)
 
+    def _hang(self, parent: int, known: list[int]) -> int:
+        if parent >= 0 and self.depth[parent] >= MAX_DEPTH:
+            parent = self.parent[parent]
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        self.features.append(known)
+        return len(self.parent) - 1
+
     def _element(self, parent: int, tag: str, attributes: str) -> int:
-        known = [0.0] * _N_ELEMENT
-        known[0] = 1.0
-        known[1 + _GROUP_OF.get(tag, _N_GROUPS)] = 1.0
+        known = [0, 1 + _GROUP_OF.get(tag, _N_GROUPS)]
         if attributes:
             names, hidden = [], False
             for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -105,20 +163,16 @@ class Page:
                 hidden |= name == "style" and "display:none" in value.replace(" ", "")
             said = " ".join(names)
             if said:
-                for i, hint in enumerate(_HINTS):
-                    if hint.search(said):
-                        known[2 + _N_GROUPS + i] = 1.0
-            known[2 + _N_GROUPS + len(_HINTS)] = float(hidden)
-        self.parent.append(parent)
-        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
-        self.features.append(known)
-        return len(self.parent) - 1
+                known += [2 + _N_GROUPS + i for i, hint in enumerate(_HINTS) if hint.search(said)]
+            if hidden:
+                known.append(2 + _N_GROUPS + len(_HINTS))
+        return self._hang(parent, known)
 
     def _read(self, source: str) -> None:
         groups = [_GROUP_OF["html"]]
         root = self._element(-1, "html", "")
-        stack: list[tuple[str, int]] = [("html", root)]  # open elements; inline ones share their block's node
-        links = 0  # open links
+        open_ = _Open()  # inline elements share their block's node
+        open_.push("html", root)
         parts: list[str] = []
         linked = 0
         at, end = 0, len(source)
@@ -127,27 +181,24 @@ class Page:
             nonlocal linked
             text = " ".join("".join(parts).split())
             if text:
-                node = stack[-1][1]
+                node = open_.nodes[-1]
                 n = len(text)
                 words = text.count(" ") + 1
-                known = [1.0, np.log1p(n) / 5, min(1.0, linked / n), float(words < 5), float(text[-1] in ".!?:;\"”»…"),
-                         float("©" in text or "(c)" in text.lower()), min(1.0, 10 * text.count(",") / n)]
-                under = [0.0] * (_N_GROUPS + 1)
-                under[groups[node]] = 1.0
-                self.parent.append(node)
-                self.depth.append(self.depth[node] + 1)
-                self.features.append(known + under)
+                self.measures.append((1.0, math.log1p(n) / 5, min(1.0, linked / n), float(words < 5), float(text[-1] in ".!?:;\"”»…"),
+                                      float("©" in text or "(c)" in text.lower()), min(1.0, 10 * text.count(",") / n)))
+                self.runs.append((self._hang(node, [_N_ELEMENT + 7 + groups[node]]), text))
                 groups.append(-1)
-                self.runs.append((len(self.parent) - 1, text))
             parts.clear()
             linked = 0
 
         def say(text: str) -> None:
             nonlocal linked
+            if open_.muted:
+                return
             if "&" in text:
                 text = html.unescape(text)
             parts.append(text)
-            if links:
+            if open_.linked():
                 linked += len(text)
 
         while at < end:
@@ -166,21 +217,17 @@ class Page:
             tag = tag.lower()
             block = tag in _GROUP_OF
             if closing:
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth][0] != tag:
-                    if not block and stack[depth][0] in _GROUP_OF:
-                        depth = 0  # an inline end tag closes nothing outside its block
-                        break
-                    depth -= 1
-                if block:
+                depth = open_.last(tag)
+                if block or tag in _MUTED:
                     flush()
+                elif depth < open_.blocks[-1]:
+                    depth = 0  # an inline end tag closes nothing outside its block
                 if depth > 0:
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
+                    open_.shut(depth)
                 continue
-            if tag in _DROPPED:
+            if tag in _RAW:
                 if not attributes.endswith("/"):
-                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
+                    stop = _END_OF[tag].search(source, at)
                     at = stop.end() if stop else end
                 continue
             if tag in _VOID:
@@ -189,26 +236,28 @@ class Page:
                 elif tag == "br":
                     parts.append(" ")
                 continue
+            if tag in _MUTED:
+                if not attributes.endswith("/"):
+                    open_.push(tag, open_.nodes[-1])
+                continue
             if not block:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+                open_.push(tag, open_.nodes[-1])
                 continue
             flush()
-            if tag in ("html", "body") and len(stack) == 1:
+            if tag in ("html", "body") and len(open_.tags) == 1:
                 continue
+            if open_.muted and (depth := open_.last(*(t for t, ends in _MUTED.items() if ends))) > open_.last("template", "canvas", "foreignobject"):
+                open_.shut(depth)
             shut = _ENDS.get(tag, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                name = stack[depth][0]
-                if name == "p" or name in shut:
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
-                    if name == "p" and shut:
-                        continue
-                    if name not in shut or tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif name in _WALLS:
+            while (depth := open_.last("p", *shut)) > (open_.walls[-1] if open_.walls else 0):
+                name = open_.tags[depth]
+                open_.shut(depth)
+                # Of a table's rows and cells, all that the new one cannot lie in end.
+                if name != "p" and tag not in ("tr", "tbody", "tfoot"):
                     break
-            stack.append((tag, self._element(stack[-1][1], tag, attributes)))
+                if name == "p" and not shut:
+                    break
+            open_.push(tag, self._element(open_.nodes[-1], tag, attributes))
             groups.append(_GROUP_OF[tag])
         flush()
 
@@ -230,12 +279,13 @@ def matrix(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         is_run = np.zeros(n, bool)
         is_run[[i for i, _ in p.runs]] = True
         kind[at : at + n] = is_run
-        elements = [f for f, r in zip(p.features, is_run) if not r]
-        x[at + np.flatnonzero(~is_run), :_N_ELEMENT] = elements
-        if len(p.runs):
-            x[at + np.flatnonzero(is_run), _N_ELEMENT:] = [p.features[i] for i, _ in p.runs]
+        held = [len(f) for f in p.features]
+        x[np.repeat(np.arange(at, at + n), held), [i for f in p.features for i in f]] = 1.0
+        if p.runs:
+            x[at + np.flatnonzero(is_run), _N_ELEMENT : _N_ELEMENT + 7] = p.measures
     # What lies below an element: characters, the share of them in links and in
-    # paragraphs, and the number of runs.
+    # paragraphs, the number of runs, and the shares of the page's characters and of those
+    # outside links.
     run = kind == 1
     chars = np.where(run, np.expm1(5 * x[:, _N_ELEMENT + 1]), 0.0)
     below = np.stack(
@@ -246,10 +296,13 @@ def matrix(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         np.add.at(below, parent[here], below[here])
     e = ~run
     size = np.maximum(below[e, 0], 1.0)
-    x[e, _N_ELEMENT - 4] = np.log1p(below[e, 0]) / 8
-    x[e, _N_ELEMENT - 3] = below[e, 1] / size
-    x[e, _N_ELEMENT - 2] = below[e, 2] / size
-    x[e, _N_ELEMENT - 1] = np.log1p(below[e, 3]) / 4
+    x[e, _N_ELEMENT - 6] = np.log1p(below[e, 0]) / 8
+    x[e, _N_ELEMENT - 5] = below[e, 1] / size
+    x[e, _N_ELEMENT - 4] = below[e, 2] / size
+    x[e, _N_ELEMENT - 3] = np.log1p(below[e, 3]) / 4
+    whole = np.maximum(below[np.repeat(first[:-1], sizes)[e]], 1.0)
+    x[e, _N_ELEMENT - 2] = below[e, 0] / whole[:, 0]
+    x[e, _N_ELEMENT - 1] = (below[e, 0] - below[e, 1]) / np.maximum(whole[:, 0] - whole[:, 1], 1.0)
     return x, parent, depth, kind
 
 
@@ -446,10 +499,15 @@ class _Maker:
                 out[-1] = f"<header>{out[-1]}</header>"
         for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
             kind = r.random()
-            if kind < 0.78:
+            if kind < 0.75:
                 out.append(self.paragraph())
-            elif kind < 0.86:
+            elif kind < 0.82:
                 out.append(f"<h{(h := r.choice('234'))}>{self.words(1, 8, True)}</h{h}>")
+            elif kind < 0.88:
+                # Sources and the like: links, but of the article.
+                said = lambda: f'<a href="/{r.randint(1, 999)}">{self.words(1, 8, True)}</a>'
+                links = "".join(f"<li>{said()}</li>" for _ in range(r.randint(2, 6)))
+                out.append(r.choice(["", f"<h3>{self.words(1, 3, True)}</h3>"]) + f"<ul>{links}</ul>")
             elif kind < 0.91:
                 out.append("<ul>" + "".join(f"<li>{self.words(1, 25, True)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
             elif kind < 0.94:
@@ -457,7 +515,12 @@ class _Maker:
             elif kind < 0.96:
                 rows = "".join(f"<tr><td>{self.words(1, 5, True)}</td><td>{self.words(1, 5, True)}</td></tr>" for _ in range(r.randint(2, 5)))
                 out.append(f"<table>{rows}</table>")
-            elif kind < 0.98:
+            elif kind < 0.97:
+                formula = f"<mi>{self.words(1, 1, True)}</mi><mo>=</mo><mi>{self.words(1, 1, False)}</mi>"
+                out.append(f"<p>{self.words(3, 20, True)} <math>{formula}</math> {self.words(2, 9, True)}</p>")
+            elif kind < 0.975:
+                out.append(f"<object data=f><p>{self.words(3, 20, True)}</p></object>")
+            elif kind < 0.985:
                 out.append(f"<pre>{self.words(3, 30, True)}</pre>")
             else:
                 out.append(r.choice([self.ad, self.aside, self.notice])())
@@ -486,8 +549,21 @@ class _Maker:
         if r.random() < 0.3:
             inner = f"<div{self.named('wrapper', 'page', 'container')}>{inner}</div>"
         ends = "</body></html>" if r.random() < 0.9 else ""
+        if r.random() < 0.25:
+            inner = self.unnamed(inner)
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8, False)}</title><script>var a='</p>';</script></head><body>{inner}{ends}"
 
+    def unnamed(self, inner: str) -> str:
+        """The same layout in elements and names that say nothing."""
+        r = self.r
+        inner = re.sub(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b", r"<\1div", inner)
+        if r.random() < 0.4:
+            inner = re.sub(r"<(/?)(?:p|h1|h2|h3|h4)\b", r"<\1div", inner)
+        known: dict[str, str] = {}
+        name = lambda m: known.setdefault(m.group(0), f' class="{r.choice("bcdfgkq")}{r.randint(1, 9999)}"')
+        drop = r.random() < 0.4
+        return re.sub(r' (?:class|id)="[^"]*"', (lambda m: "") if drop else name, inner)
+
 
 def labelled(n: int, seed: int = SEED) -> tuple[list[Page], list[np.ndarray]]:
     """Pages and the labels of their nodes. An element is content if most of its text is."""
@@ -510,6 +586,12 @@ def labelled(n: int, seed: int = SEED) -> tuple[list[Page], list[np.ndarray]]:
     return pages, labels
 
 
+@cache
+def trained() -> dict:
+    """The model, fitted once in a process: its pages depend on nothing that is given."""
+    return fitted(*labelled(TRAIN_PAGES))
+
+
 def extracted(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """The main text of every page.
 
@@ -517,13 +599,15 @@ def extracted(pages: DataFrame, model: dict | None = None) -> DataFrame:
     html is empty. Character references are decoded, white space inside a block becomes
     one space, a line break among it, and blocks are joined in page order by a line feed.
     Scripts, styles and the like are left out before; broken markup is read on as browsers
-    do: an unclosed paragraph ends at the next block, an unclosed script at the page's end.
+    do: an unclosed paragraph ends at the next block, an unclosed script at the page's end,
+    and an unclosed drawing or list of choices where what it lies in ends or a block begins.
+    Reading takes time in proportion to a page's length, whatever its tags.
     A page without content, or without html, has empty text. Repeated rows are read each;
     an empty table gives no rows.
 
     Returns ``page_id, url, text, n_chars``.
     """
-    model = model or fitted(*labelled(TRAIN_PAGES))
+    model = model or trained()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -92,7 +93,8 @@ def test_the_best_branches_of_a_reply_tree(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    return html_tree.fitted(*html_tree.labelled(html_tree.TRAIN_PAGES))
+    assert html_tree.trained() is html_tree.trained()
+    return html_tree.trained()
 
 
 def test_pages_are_told_apart_on_held_out_layouts(model):
@@ -143,6 +145,57 @@ def test_the_article_is_taken_out(model, page):
     assert html_tree.main_texts(model, [page]) == [TEXT]
 
 
+SAID = "Some words that make a paragraph, long enough to be read by anyone who comes along here."
+MENU = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>"
+SOURCES = "<ul><li><a href=/1>The first source of this</a></li><li><a href=/2>The second source</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("before", "inside", "also"),
+    [
+        ("", "<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p>", "Here x=2 holds for all of them."),
+        ("", "<object data=film><p>The film shows how the river runs to the sea.</p></object>", "The film shows how the river runs to the sea."),
+        ("", f"<h2>Sources</h2>{SOURCES}", "Sources\nThe first source of this\nThe second source"),
+        ("<form><select><option>One<option>Two</form>", "", ""),
+        ("<header><svg><path d=1></header>", "", ""),
+        ("", "<svg><text>label</text>", ""),
+    ],
+)
+def test_nothing_of_an_article_is_dropped(model, before, inside, also):
+    page = f"{before}{MENU}<article><h1>A title here</h1><p>{SAID}</p>{inside}<p>{SAID} And more.</p></article><footer>&copy; site</footer>"
+    want = ["A title here", SAID, *([also] if also else []), f"{SAID} And more."]
+    assert html_tree.main_texts(model, [page]) == ["\n".join(want)]
+
+
+@pytest.mark.parametrize("name", [' class="q1"', ""])
+def test_layouts_whose_names_say_nothing(model, name):
+    links = "".join(f"<a href=/{i}>Link {i}</a> " for i in range(3))
+    text = "".join(f"<div{name}>{SAID}</div>" for _ in range(3))
+    page = f"<div{name}><div{name}>{links}</div><div{name}>{text}</div><div{name}>&copy; site</div></div>"
+    assert html_tree.main_texts(model, [page]) == ["\n".join([SAID] * 3)]
+
+
+@pytest.mark.parametrize(
+    "piece", ["</td></i>", "<div>", "<p>x", "<b><i>", "<a href=x>y", "<tr><td>", "<select>", "</div><svg>", "<li><b>"]
+)
+def test_pages_are_read_in_time_in_proportion(piece):
+    """Blocks and inline elements left open, and a megabyte or a quarter of it after them."""
+    took = []
+    for size in (250_000, 1_000_000):
+        page = "<div><b>" * (size // 100) + piece * (size // len(piece))
+        start = time.process_time()
+        html_tree.Page(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+    assert took[1] < 4
+
+
+def test_elements_deeper_than_browsers_allow():
+    page = html_tree.Page("<div>" * 3000 + "<p>deep")
+    assert max(page.depth) == html_tree.MAX_DEPTH and [t for _, t in page.runs] == ["deep"]
+    assert all(page.depth[i] == page.depth[p] + 1 for i, p in enumerate(page.parent) if p >= 0)
+
+
 def test_odd_pages(spark, model, crowded):
     odd = [None, "", "   ", "<", "<p", "a < b & c", "<p>" * 300, "<div>" * 3000 + "x", "</p></div>", "<a 'b \"c>d</a>", "<script>", "&#xZZ; &amp &am", "<p>" + "word " * 50_000]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)] + [(0, "u", None), (None, None, ARTICLE)], "page_id long, url string, html string")

@@ -21,9 +21,10 @@ MAX_REPEAT_PCT = 50
 SYMBOLS = b"#*$%&|<>"
 MIN_CONTENT_SHARE = 0.5
 
-#: The training sample: so many documents of either label, so many lines of each.
+#: The training sample: at most so many documents of either label, and whole texts among
+#: them as far as they fit into so many lines.
 TRAIN_DOCS = 1000
-TRAIN_LINES = 64
+TRAIN_LINES = 20_000
 TRAIN_STEPS = 150
 
 N_FEATURES = 14
@@ -142,58 +143,81 @@ def viterbi(model: dict, features: np.ndarray, row: np.ndarray, n: int) -> np.nd
     return label
 
 
+def _running(step: np.ndarray) -> np.ndarray:
+    """The sum over all ways up to each place, given the matrix of each step, up to scale.
+
+    Places are dealt into blocks of equal length; the products inside all blocks are taken
+    side by side, and the blocks are then gone through in order.
+    """
+    n = len(step)
+    width = max(1, int(np.sqrt(n)))
+    blocks = -(-n // width)
+    inner = np.empty((blocks * width, 2, 2))
+    inner[:n] = step
+    inner[n:] = np.eye(2)
+    inner = inner.reshape(blocks, width, 2, 2)
+    for t in range(1, width):
+        product = inner[:, t - 1] @ inner[:, t]
+        inner[:, t] = product / product.max((1, 2), keepdims=True)
+    into, before = np.ones(2), np.empty((blocks, 2))
+    for k in range(blocks):
+        before[k] = into
+        into = into @ inner[k, -1]
+        into = into / into.sum()
+    out = (before[:, None, :, None] * inner).sum(2).reshape(-1, 2)[:n]
+    return out / out.sum(1, keepdims=True)
+
+
+def gradient(theta: np.ndarray, x: np.ndarray, begins: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of labels ``y`` of all lines, texts one after another.
+
+    ``theta`` has a weight for every feature, two for the first line's label and four for a
+    label after another; ``begins`` marks the first line of every text. A text's first step
+    forgets what came before, so all texts are one chain.
+    """
+    emit, start, move = np.split(theta, [N_FEATURES, N_FEATURES + 2])
+    score = np.clip(x @ emit, -50, 50)
+    step = np.where(begins[:, None, None], np.exp(start)[None, None], np.exp(move).reshape(1, 2, 2))
+    step = step * np.exp(np.stack([np.zeros(len(x)), score], 1))[:, None, :]
+    step /= step.max((1, 2), keepdims=True)
+    forward = _running(step)
+    backward = np.ones_like(forward)
+    backward[:-1] = _running(step[:0:-1].transpose(0, 2, 1))[::-1] if len(x) > 1 else 1.0
+    node = forward * backward
+    node /= node.sum(1, keepdims=True)
+    inside = np.flatnonzero(~begins)
+    edge = forward[inside - 1][:, :, None] * step[inside] * backward[inside][:, None, :]
+    edge /= edge.sum((1, 2), keepdims=True)
+    first = np.flatnonzero(begins)
+    seen = np.bincount(y[inside - 1] * 2 + y[inside], minlength=4)
+    return np.concatenate(
+        [x.T @ (y - node[:, 1]), np.bincount(y[first], minlength=2) - node[first].sum(0), seen - edge.sum(0).ravel()]
+    )
+
+
 def train(lines: list[np.ndarray], content: list[int]) -> dict | None:
     """Fit the field to texts whose lines all have one label, by maximum likelihood.
 
-    The gradient is that of the exact likelihood, from forward and backward sums; Adam
-    takes a fixed number of steps. None without texts of both labels.
+    The gradient is that of the exact likelihood; Adam takes a fixed number of steps. None
+    without texts of both labels.
     """
     keep = [i for i, x in enumerate(lines) if len(x)]
     lines, content = [lines[i] for i in keep], [content[i] for i in keep]
     if len(set(content)) < 2:
         return None
-    n, longest = len(lines), max(map(len, lines))
-    x = np.zeros((n, longest, N_FEATURES))
-    has = np.zeros((n, longest), bool)
-    for i, part in enumerate(lines):
-        x[i, : len(part)] = part
-        has[i, : len(part)] = True
-    y = np.repeat(np.array(content)[:, None], longest, 1)
-    pairs = has[:, 1:]
+    x = np.concatenate(lines)
+    sizes = np.array([len(part) for part in lines])
+    begins = np.zeros(len(x), bool)
+    begins[np.cumsum(sizes) - sizes] = True
+    y = np.repeat(content, sizes)
     size = np.array([N_FEATURES, 2, 4])
     theta = np.zeros(size.sum())
     # Labels are those of whole texts. Weights of the moves are held back, or they would
     # learn from that that a text's lines never differ.
     hold = np.repeat([1e-3, 1e-3, 5e-2], size)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    scale = has.sum()
     for step in range(1, TRAIN_STEPS + 1):
-        emit, start, move = np.split(theta, np.cumsum(size)[:-1])
-        move = move.reshape(2, 2)
-        score = np.stack([np.zeros((n, longest)), x @ emit], -1)
-        forward = np.zeros((n, longest, 2))
-        backward = np.zeros((n, longest, 2))
-        forward[:, 0] = start + score[:, 0]
-        for t in range(1, longest):
-            into = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1])
-            forward[:, t] = np.where(has[:, t, None], into + score[:, t], forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            out = backward[:, t + 1] + score[:, t + 1]
-            from_here = np.logaddexp(move[:, 0] + out[:, :1], move[:, 1] + out[:, 1:])
-            backward[:, t] = np.where(has[:, t + 1, None], from_here, backward[:, t + 1])
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])[:, None, None]
-        node = np.exp(forward + backward - total) * has[..., None]
-        edge = forward[:, :-1, :, None] + move + (backward + score)[:, 1:, None, :] - total[..., None]
-        edge = np.exp(np.where(pairs[..., None, None], edge, -np.inf)).sum((0, 1))
-        seen = np.bincount(y[:, 1:][pairs] * 3, minlength=4).reshape(2, 2)
-        grad = np.concatenate(
-            [
-                np.einsum("ntf,nt->f", x, y * has - node[..., 1]),
-                np.bincount(y[:, 0], minlength=2) - node[:, 0].sum(0),
-                (seen - edge).ravel(),
-            ]
-        )
-        grad = grad / scale - hold * theta
+        grad = gradient(theta, x, begins, y) / len(x) - hold * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         theta += 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -201,24 +225,48 @@ def train(lines: list[np.ndarray], content: list[int]) -> dict | None:
     return {"emit": emit, "start": start, "move": move.reshape(2, 2)}
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The field, fitted to the labelled documents with the smallest hashes of their ids.
+def sampled(docs: DataFrame, labels: DataFrame) -> list[tuple]:
+    """``train_id, content, rank, text_rank, n_lines`` of the texts that train the field.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 good, 0 not); a document with both labels
-    or none is left out. At most ``TRAIN_DOCS`` documents of either label and
-    ``TRAIN_LINES`` lines of each reach the driver, as numbers. None where one label has no
-    document.
+    or none is left out. Of either label, texts go in by the smallest hashes of their ids,
+    each as a whole, as long as they fit into ``TRAIN_LINES``.
     """
     known = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy(F.col("doc_id").alias("train_id"))
         .agg(F.min("quality").alias("content"), F.max("quality").alias("most"))
         .where("content = most")
-        .select("train_id", "content", F.xxhash64("train_id").alias("rank"))
+        .select("train_id", F.col("content").cast("int").alias("content"), F.xxhash64("train_id").alias("rank"))
     )
     some = [known.where(F.col("content") == c).orderBy("rank", "train_id").limit(TRAIN_DOCS) for c in (0, 1)]
-    # No more than 2 * TRAIN_DOCS rows of two numbers.
-    sample = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("train_id"))
+    # No more than 2 * TRAIN_DOCS rows of a few numbers are broadcast, or reach the driver.
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("train_id"))
+        .where("text is not null")
+        .select("train_id", "content", "rank", F.xxhash64("text").alias("text_rank"), lines.alias("n_lines"))
+        .distinct()
+        .orderBy("rank", "text_rank")
+        .limit(2 * TRAIN_DOCS)
+        .collect()
+    )
+    room, out = {0: TRAIN_LINES, 1: TRAIN_LINES}, []
+    for row in sizes:
+        if row["n_lines"] <= room[row["content"]]:
+            room[row["content"]] -= row["n_lines"]
+            out.append(tuple(row))
+    return out
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """The field, fitted to the sample; None where one label has no document."""
+    chosen = sampled(docs, labels)
+    if len({row[1] for row in chosen}) < 2:
+        return None
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = docs.sparkSession.createDataFrame(chosen, f"train_id {kind}, content int, rank long, text_hash long, n_lines int")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -229,19 +277,24 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
                 seen = Measured(hasher, part, ends)
                 for r in range(last - first):
                     mine = np.searchsorted(seen.line_row, [r, r + 1])
-                    out.append(seen.features[mine[0] : mine[1]][:TRAIN_LINES].ravel().tolist())
+                    out.append(seen.features[mine[0] : mine[1]].ravel().tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.list_(pa.float64()))],
-                ["content", "rank", "text_rank", "features"],
+                ["content", "rank", "text_hash", "features"],
             )
 
+    same = (F.col("doc_id") == F.col("train_id")) & (F.xxhash64("text") == F.col("text_hash"))
+    # Equal rows of the table train once.
     rows = (
-        sample.select("text", F.col("content").cast("int").alias("content"), "rank", F.xxhash64("text").alias("text_rank"))
-        .mapInArrow(lines, "content int, rank long, text_rank long, features array<double>")
-        .orderBy("rank", "text_rank")
-        .limit(2 * TRAIN_DOCS)
+        docs.select("doc_id", "text")
+        .join(F.broadcast(table), same)
+        .groupBy("train_id", "content", "rank", "text_hash")
+        .agg(F.first("text").alias("text"))
+        .select("text", "content", "rank", "text_hash")
+        .mapInArrow(lines, "content int, rank long, text_hash long, features array<double>")
         .collect()
     )
+    rows.sort(key=lambda r: (r["rank"], r["text_hash"]))
     return train([np.array(r["features"]).reshape(-1, N_FEATURES) for r in rows], [r["content"] for r in rows])
 
 

@@ -326,6 +326,59 @@ def quality_fails(text):
     return m[0] < 50 or 100 * m[4] > 50 * m[0]
 
 
+def likelihood(theta, texts, labels):
+    """Log-likelihood by plain forward sums, text by text."""
+    emit, start, move = np.split(theta, [quality.N_FEATURES, quality.N_FEATURES + 2])
+    move, total = move.reshape(2, 2), 0.0
+    for x, y in zip(texts, labels):
+        score = np.stack([np.zeros(len(x)), x @ emit], 1)
+        ways = start + score[0]
+        own = ways[y[0]]
+        for t in range(1, len(x)):
+            ways = np.logaddexp(ways[0] + move[0], ways[1] + move[1]) + score[t]
+            own += move[y[t - 1], y[t]] + score[t, y[t]]
+        total += own - np.logaddexp(*ways)
+    return total
+
+
+def test_gradient_is_that_of_the_likelihood():
+    r = np.random.default_rng(12)
+    texts = [r.normal(size=(n, quality.N_FEATURES)) for n in (1, 7, 2, 40, 1, 13)]
+    labels = [r.integers(0, 2, len(x)) for x in texts]
+    theta = r.normal(size=quality.N_FEATURES + 6)
+    begins = np.concatenate([np.arange(len(x)) == 0 for x in texts])
+    got = quality.gradient(theta, np.concatenate(texts), begins, np.concatenate(labels))
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        slope = (likelihood(theta + step, texts, labels) - likelihood(theta - step, texts, labels)) / 2e-5
+        assert got[i] == pytest.approx(slope, rel=1e-5, abs=1e-5)
+
+
+def test_training_takes_whole_texts_and_agrees_with_held_out_labels(spark, documents, monkeypatch):
+    long = "\n".join(prose(i, 8) for i in range(700))
+    docs = documents([(i, long if i == 3 else f"{prose(i, 9)}\n{i}") for i in range(40)] + [(50, None), (3, long)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, 1), (51, 0), (None, 1), (4, 1)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality, "train", lambda lines, content: fitted.append((lines, content)))
+    quality.trained(docs, labels)
+    sizes = sorted(len(x) for x in fitted[0][0])
+    assert sizes == [2] * 38 + [700] and sorted(fitted[0][1]) == [0] * 19 + [1] * 20
+    # What doesn't fit is left out as a whole, and shorter texts after it still go in.
+    monkeypatch.setattr(quality, "TRAIN_LINES", 100)
+    quality.trained(docs, labels)
+    assert sorted(len(x) for x in fitted[1][0]) == [2] * 38
+    monkeypatch.undo()
+
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 200)
+    used = [row[0] for row in quality.sampled(docs, labels)]
+    held = quality.quality_report(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where(~F.col("doc_id").isin(used))
+    right = ((F.col("content_share") >= 0.5) == (F.col("quality") == 1)).cast("int")
+    shares = {r["quality"]: r["right"] for r in held.where("n_words >= 50").groupBy("quality").agg(F.avg(right).alias("right")).collect()}
+    assert shares[1] > 0.98 and shares[0] > 0.9
+
+
 def test_viterbi_finds_the_best_labelling():
     r = np.random.default_rng(0)
     model = {"emit": r.normal(size=3), "start": r.normal(size=2), "move": r.normal(size=(2, 2))}

@@ -549,7 +549,7 @@ def removed_by_hand(rows, length=50):
 @pytest.mark.parametrize("small", [False, True])
 def test_repeated_strings(documents, crowded, odd_texts, monkeypatch, small):
     if small:  # many buckets, deals, batches and levels
-        for name, value in (("BUCKET_BYTES", 3000), ("DEAL_BYTES", 5000), ("BATCH", 300)):
+        for name, value in (("BUCKET_BYTES", 3000), ("DEAL_BYTES", 5000), ("BATCH", 300), ("HOT_BYTES", 6000), ("SAMPLED", 2)):
             monkeypatch.setattr(suffix_family, name, value)
     r = random.Random(4)
     passages = [prose(900 + i, n) for i, n in enumerate((7, 9, 12, 30, 100))]
@@ -567,6 +567,82 @@ def test_repeated_strings_of_empty_and_short_tables(documents):
     assert suffix_family.repeats_removed(docs.limit(0)).collect() == []
 
 
+def removed_rows(df):
+    return sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in df.collect()), key=str)
+
+
+def repeating_rows(n, seed=4):
+    r = random.Random(seed)
+    passages = [prose(900 + i, k) for i, k in enumerate((7, 9, 12, 30, 100))]
+    return [(i, f"{prose(i, r.randint(0, 60))} {r.choice(passages)}{prose(i + 5000, r.randint(0, 30))}{r.choice(passages)}") for i in range(n)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_batches_against_the_levels_of_earlier_ones(documents, monkeypatch, small):
+    """Four batches by ascending id give what one run gives, and levels merge."""
+    if small:
+        for name, value in (("BUCKET_BYTES", 3000), ("DEAL_BYTES", 5000), ("BATCH", 300), ("HOT_BYTES", 4000), ("SAMPLED", 1)):
+            monkeypatch.setattr(suffix_family, name, value)
+    rows = repeating_rows(80) + [(200, "é" * 60), (201, "x" + "é" * 50)]
+    rows.sort()
+    family, got, counts = None, [], []
+    for at in range(0, len(rows), 21):
+        out, family = suffix_family.batch_removed(documents(rows[at : at + 21]), family)
+        got += removed_rows(out)
+        counts.append([n for n, _ in family.levels])
+    assert sorted(got, key=str) == removed_by_hand(rows)
+    assert len(counts) == 4 and all(2 * b <= a for level in counts for a, b in zip(level, level[1:]))
+    assert sum(counts[-1]) == len({t.encode()[p : p + 50] for _, t in rows for p in range(len(t.encode()) - 49)})
+
+
+def test_suffix_arrays_and_merge_scans():
+    r = random.Random(3)
+    make = lambda seed: np.frombuffer(("".join(r.choice(["ab", "abc", prose(seed, 3), "x" * 30]) for _ in range(60)) + "\0" * 8).encode(), np.uint8)
+    levels = []
+    for seed in (1, 2):
+        text = make(seed)
+        at = np.arange(len(text) - 8 - 49)
+        order, new = suffix_family.suffix_order(text, at)
+        strings = [text[i : i + 50].tobytes() for i in at]
+        assert [strings[i] for i in order] == sorted(strings) and new.sum() == len(set(strings))
+        levels.append(suffix_family.Level(text, at[order][new], np.full(int(new.sum()), seed)))
+    order, new, both = suffix_family.merge_scan(*levels)
+    strings = [both.text[i : i + 50].tobytes() for i in both.places]
+    assert [strings[i] for i in order] == sorted(strings) and new.sum() == len(set(strings))
+
+
+def test_a_frequent_k_mer_is_dealt_by_its_contexts(documents, monkeypatch):
+    """Its bucket stays level while the table grows; the same is removed."""
+    for name, value in (("BUCKET_BYTES", 40_000), ("HOT_BYTES", 200_000), ("SAMPLED", 1)):
+        monkeypatch.setattr(suffix_family, name, value)
+    hasher = suffix_family.Hasher()
+    low = min((f"{a}{b}{c}{d}tion " for a in "abcdefgh" for b in "abcdefgh" for c in "abc" for d in "abc"), key=lambda k: int(
+        hasher.ranges(hasher.sums(np.frombuffer(k[:8].encode(), np.uint8)), np.array([0]), np.array([8]))[0]))
+    largest = []
+    for n in (300, 1200):
+        rows = [(i, " ".join(low + prose(i * 50 + k, 6) for k in range(20))) for i in range(n)]
+        if n == 300:
+            rows += [(n + i, rows[i][1][100:400]) for i in range(5)]
+            assert removed_rows(suffix_family.repeats_removed(documents(rows))) == removed_by_hand(rows)
+        docs = documents(rows)
+        deal = suffix_family._deal(docs)
+        assert len(deal.hot)
+        sizes = Counter()
+        for r in suffix_family._dealt(suffix_family._tagged(docs), deal).collect():
+            if r["bucket"] >= 0:
+                sizes[r["bucket"]] += len(suffix_family.unpacked(r["payload"])[-1])
+        largest.append(max(sizes.values()))
+    assert largest[1] < 1.5 * largest[0]
+
+
+def test_rows_that_share_an_id_keep_their_own_ranges(documents):
+    """Many rows of one id, of which only some hold a passage of a smaller document."""
+    passage = prose(1, 30)
+    rows = [(1, passage)] + [(5, f"{prose(100 + i, 20)} {passage if i % 3 == 0 else prose(900 + i, 30)} {i}") for i in range(700)]
+    rows += [(5, rows[1][1]), (6, passage), (6, passage)]
+    assert removed_rows(suffix_family.repeats_removed(documents(rows))) == removed_by_hand(rows)
+
+
 def test_strings_whose_minimizer_recurs(documents):
     r = random.Random(12)
     rows = []

@@ -16,11 +16,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, word_spans
+from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, mix, word_spans
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_BYTES = 4 << 20
+ROW_BYTES = 64
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -96,6 +97,15 @@ def token_rows(column: pa.Array, tokens: Interned, end_id: int) -> Iterator[np.n
             yield out
 
 
+def groups(spread: np.ndarray, n_groups: int) -> np.ndarray:
+    """A group for each row of a batch; equal hashes in it are numbered and go apart."""
+    order = np.argsort(spread, kind="stable")
+    first = np.flatnonzero(np.r_[True, spread[order][1:] != spread[order][:-1]]) if len(spread) else order
+    number = np.empty(len(spread), np.uint64)
+    number[order] = np.arange(len(spread)) - np.repeat(first, np.diff(np.r_[first, len(spread)]))
+    return (mix(spread.view(np.uint64) + number * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_groups)).astype(np.int64)
+
+
 def balanced(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces as (item, start in item, length, sequence, offset).
 
@@ -135,26 +145,23 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     their own. An empty table gives no rows.
 
     A document's whole multiples of ``capacity`` become full sequences where it is read.
-    What remains is dealt into groups of about ``GROUP_BYTES`` of text by hash, and packed
-    within them; a group leaves less than one sequence unfilled.
+    What remains is dealt into groups of about ``GROUP_BYTES`` by hash, counting ``ROW_BYTES``
+    for a row beside its text, and packed within them; a group leaves less than one sequence
+    unfilled. Equal rows are numbered where they are read, and dealt over all groups.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and
     ``sequence_tokens`` and ``padding`` of the piece's sequence. A sequence is padded to
     ``capacity`` unless its length is a power of two.
     """
-    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n_groups = max(1, -(-n_bytes // GROUP_BYTES))
-    dealt = docs.select(
-        "doc_id",
-        "text",
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int").alias("pack_group"),
-    )
+    dealt = docs.select("doc_id", "text", F.xxhash64("doc_id", F.length("text")).alias("spread"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept_by_worker(f"words {tokenizer}", lambda: word_tokens(tokenizer))
         for batch in batches:
             ids_of = batch.column(0).to_pylist()
-            group_of = batch.column(2).to_pylist()
+            group_of = groups(batch.column(2).to_numpy(), n_groups).tolist()
             out: dict[str, list] = {k: [] for k in ("group", "doc_id", "start", "length", "crc", "doc_tokens", "ids")}
 
             def flush() -> pa.RecordBatch:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends
 
 LIMIT = 4096
+#: Pairs of tokens whose verdicts are kept at once.
+APART_LIMIT = 500_000
 
 _BLANK = "▁"  # how the vocabulary writes a space
 
@@ -48,10 +50,12 @@ class PrefixCounts:
             raise ValueError("the vocabulary has tokens that span the places to cut at")
         self._fronts = {p[:i] for p in self._pieces for i in range(1, len(p) + 1)}
         self._apart: dict[str, dict[str, bool]] = {}
+        self._n_apart = 0
         self.counts = Interned(lambda keys: [self.stretch(k.decode("utf-8", "replace")) for k in keys], np.int32)
 
     def _stay_apart(self, left: str, right: str) -> bool:
         """Whether the two tokens, side by side, are the encoding of their text."""
+        self._n_apart += 1
         # The line feed keeps the library's own leading space away from the two.
         got = self._model.encode("\n" + (left + right).replace(_BLANK, " "), out_type=str)
         return got[2:] == [left, right]
@@ -90,6 +94,9 @@ class PrefixCounts:
         of at most ``limit`` tokens."""
         data, offsets = column_bytes(column)
         for _, _, part, ends in chunks(data, offsets):
+            if self._n_apart > APART_LIMIT:
+                self._apart.clear()
+                self._n_apart = 0
             size = np.diff(ends)
             n_rows = len(size)
             # The library puts a space before every text that isn't empty.

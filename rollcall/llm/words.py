@@ -44,11 +44,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, size, int(offsets[0])), offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about ``CHUNK_BYTES``: first row, last row, bytes, offsets."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about ``size`` bytes: first row, last row, bytes, offsets."""
     n, first = len(offsets) - 1, 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n, first + 60_000)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
@@ -166,11 +166,15 @@ def letter_ends(data: np.ndarray, without: bytes = b"") -> np.ndarray:
 class Interned:
     """Values computed once per distinct byte string, then looked up for whole chunks.
 
-    ``make`` turns a list of byte strings into one array each. Beyond ``limit`` distinct
-    strings everything is forgotten and computed anew, so memory stays bounded.
+    ``make`` turns a list of byte strings into one array each. Once strings and values take
+    more than ``limit`` bytes everything is forgotten and computed anew, so memory stays
+    bounded whatever the strings are like.
     """
 
-    def __init__(self, make, dtype, limit: int = 800_000) -> None:
+    #: What a string takes beside its bytes and values.
+    ENTRY = 160
+
+    def __init__(self, make, dtype, limit: int = 160 << 20) -> None:
         self._make, self._dtype, self._limit = make, dtype, limit
         self._reset()
 
@@ -180,6 +184,11 @@ class Interned:
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self._used = 0
+        self._held = 0
+
+    @property
+    def n_bytes(self) -> int:
+        return self._held + self._used * self.flat.itemsize
 
     @staticmethod
     def _grown(array: np.ndarray, n: int) -> np.ndarray:
@@ -201,6 +210,7 @@ class Interned:
         self.first[n : n + len(keys)] = self._used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
         self._used += total
+        self._held += sum(map(len, keys)) + self.ENTRY * len(keys)
         self._index.update(zip(keys, range(n, n + len(keys))))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -211,7 +221,7 @@ class Interned:
         buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         coded = pa.Array.from_buffers(pa.large_binary(), n, buffers).dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        if len(self._index) > self._limit:
+        if self.n_bytes > self._limit:
             self._reset()
         if new := [k for k in keys if k not in self._index]:
             self._add(new)

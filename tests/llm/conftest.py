@@ -2,6 +2,17 @@ from __future__ import annotations
 
 import pytest
 
+#: Names that some module uses itself on the way.
+NAMES = """
+    a again all at b block blocks body bucket bytes cell cells code content copies covered digest doc doc_key
+    embedding_id family features first first_doc form found group grp h here hi how ids is_level item items key key_a
+    key_b kept label2 leaf lefts length level lines lo members met mine most n n_lines n_removed n_words node number
+    order_id other pack_group part payload piece place placed pos pressed rank rep rights root row row_hash rows seen
+    set_code shard shift side size source_no source_size span span_doc span_tag spans spread start starts subroot tag
+    taken target text_hash text_key text_rank to train_id tree unit uses visit visits w w1 w2 walls where window
+    windows word word_from words
+""".split()
+
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -25,7 +36,7 @@ def crowded():
     def add(df):
         from pyspark.sql import functions as F
 
-        for name in ("size", "tag", "kept", "key", "rank", "group", "bucket", "a", "b", "span", "n_words", "node", "label2"):
+        for name in NAMES:
             df = df.withColumn(name, F.lit("x"))
         return df
 

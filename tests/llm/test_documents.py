@@ -67,6 +67,36 @@ def test_prefix_counts_are_exact_at_every_character():
             assert fitting[0] == max(k for k in range(len(text) + 1) if len(model.encode(text[:k])) <= limit)
 
 
+def test_memory_stays_bounded_over_distinct_strings():
+    """Long strings that never come again, and few limits: everything is forgotten in time."""
+    import pyarrow as pa
+
+    prefixes = token_prefix.PrefixCounts(tokenizer_path(PIECE_BPE))
+    prefixes.counts._limit = 2 << 20
+    r = random.Random(7)
+    most, resets = 0, 0
+    for _ in range(25):
+        lines = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(60)]
+        before = prefixes.counts.n_bytes
+        (_, tokens, _), *_ = prefixes.rows(pa.array(lines), 10**9)
+        assert tokens.tolist() == [len(prefixes._model.encode(t)) for t in lines]
+        most, resets = max(most, prefixes.counts.n_bytes), resets + (prefixes.counts.n_bytes < before)
+    assert resets >= 1 and most < 6 << 20
+
+
+def test_verdicts_on_pairs_are_forgotten(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_prefix, "APART_LIMIT", 50)
+    prefixes = token_prefix.PrefixCounts(tokenizer_path(PIECE_BPE))
+    for i in range(8):
+        text = prose(i, 200)
+        (_, tokens, _), *_ = prefixes.rows(pa.array([text]), 10**9)
+        assert tokens.tolist() == [len(prefixes._model.encode(text))]
+    list(prefixes.rows(pa.array(["a"]), 9))
+    assert sum(map(len, prefixes._apart.values())) < 50
+
+
 # --- Packing --------------------------------------------------------------------------
 
 
@@ -108,6 +138,15 @@ def test_packing_holds_every_id_once(documents, crowded, odd_texts, monkeypatch,
         assert padding < 2048
 
 
+def test_very_many_empty_texts_go_into_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1 << 18)
+    docs = spark.range(0, 30_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.pack(docs, tokenizer_path(WORD_BPE))
+    groups = got.groupBy((F.shiftright("sequence_id", 32)).alias("g")).count().collect()
+    assert len(groups) == 8 and max(r["count"] for r in groups) < 2 * 30_000 / 8
+    assert got.agg(F.sum("length")).first()[0] == 30_000
+
+
 def test_packing_of_repeated_rows_and_empty_tables(documents):
     twice = documents([(1, "a b c"), (1, "a b c"), (None, "d")])
     got = packing.pack(twice, tokenizer_path(WORD_BPE)).collect()
@@ -421,9 +460,10 @@ def test_line_windows(documents, crowded, odd_texts):
     pool = ["a", "b", "c", "", "d e", "f"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for i in range(60)]
     rows += [(100 + i, t) for i, t in enumerate(odd_texts)] + [(200, "x\n" * 50), (None, "a\nb\nc")]
-    docs = crowded(documents(rows)).drop("a", "b")
+    docs = crowded(documents(rows))
     got = without_repeated_windows(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert got.columns == [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    assert without_repeated_windows(docs, counts=False).columns == docs.columns
     assert {r_["doc_id"]: (r_["text"], r_["n_lines"], r_["n_removed"]) for r_ in got.collect()} == lines_by_hand(rows)
 
 
@@ -434,6 +474,17 @@ def test_line_windows_of_repeated_rows_and_empty_tables(documents):
     assert without_repeated_windows(docs.limit(0)).collect() == []
 
 
+def test_a_window_in_every_document(spark, conf, documents):
+    """What the hot join reads on its other side is a table, so that it may be split."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(i, f"{prose(i, 4)}\nAll rights\nare\nreserved\n{prose(i + 9000, 4)}\n{i}") for i in range(3000)]
+    got = without_repeated_windows(documents(rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    hot = plan[plan.index("SortMergeJoin [w1") :]
+    assert hot.count("Aggregate") == 0 and "Python" not in plan and "Arrow" not in plan
+    assert got.where("n_removed = 3").count() == 2999
+
+
 # --- Near duplicates ------------------------------------------------------------------
 
 

@@ -33,6 +33,8 @@ _REACHED = "__reached"
 _BLOCK = "__block"
 _MASK = "__mask"
 _PLACED = "__placed"
+_BIT = "__bit"
+_START = "__start"
 _TALLY = "__tally"
 
 # Periods of a block, one bit each, and of a run spread out from one array.
@@ -137,10 +139,18 @@ def coverage_grid(
     # one for each of its blocks: both counts come from one pass.
     twice = members.withColumn(_PLACED, F.explode(F.array(F.lit(False), F.lit(True))))
     on = (F.col(_SUBJECT) == F.col(_REACHED)) & F.col(_PLACED)
+    # Each task spreads the bits over periods and counts them before any row moves, so of
+    # a group, however large, it sends a row per period at most. A member's row without a
+    # block has no bits and becomes one row without a period.
+    is_member = F.col(_BLOCK).isNull()
+    bits = F.sequence(F.lit(0), F.when(is_member, F.lit(0)).otherwise(F.lit((1 << _BLOCK_BITS) - 1)))
+    at = F.when(~is_member, F.shiftleft(_BLOCK, _BLOCK_BITS) + F.col(_BIT))
     tallies = (
         twice.join(reached, on, "left")
         .where(~F.col(_PLACED) | F.col(_BLOCK).isNotNull())
-        .groupBy(*by, _BLOCK, _MASK)
+        .withColumn(_BIT, F.explode(bits))
+        .where(is_member | (F.getbit(_MASK, _BIT) == 1))
+        .groupBy(*by, at.alias(_PLACED))
         .agg(F.count(_SUBJECT).alias(_TALLY))
     )
     if span is not None:
@@ -148,35 +158,23 @@ def coverage_grid(
     else:
         # Reading the bounds off the tallies, counts included, makes this subquery the
         # same plan as the query itself, up to their shuffle. Spark runs it once.
-        held = F.when(F.col(_TALLY) > 0, F.shiftleft(_BLOCK, _BLOCK_BITS))
-        lowest = F.instr(F.reverse(F.bin(_MASK)), "1") - 1
-        highest = F.length(F.bin(_MASK)) - 1
-        bounds = tallies.agg(
-            F.struct(F.min(held + lowest).alias("first"), F.max(held + highest).alias("last"))
-        ).scalar()
+        held = F.when(F.col(_TALLY) > 0, F.col(_PLACED))
+        bounds = tallies.agg(F.struct(F.min(held).alias("first"), F.max(held).alias("last"))).scalar()
         first, last = bounds["first"], bounds["last"]
 
-    # Tallies are brought together by group before they are spread over periods, which
-    # moves the fewest rows and leaves the grid placed for windows over a group. Adding
-    # up, unlike an outer join, treats null groups as any other.
+    # Tallies are brought together by group before populations are spread over periods,
+    # which leaves the grid placed for windows over a group. Adding up, unlike an outer
+    # join, treats null groups as any other.
     if by:
         tallies = tallies.repartition(*by)
-    is_population = F.col(_BLOCK).isNull()
-    bits = F.sequence(F.lit(0), F.lit((1 << _BLOCK_BITS) - 1))
-    set_bits = F.filter(bits, lambda i: F.getbit(_MASK, i) == 1)
-    starts = F.when(is_population, F.sequence(first, last, F.lit(_RUN).cast("long"))).otherwise(
-        F.array(F.shiftleft(_BLOCK, _BLOCK_BITS))
-    )
-    in_run = F.sequence(F.col(_PLACED), F.col(_PLACED) + F.least(last - F.col(_PLACED), F.lit(_RUN - 1)))
+    is_population = F.col(_PLACED).isNull()
+    starts = F.when(is_population, F.sequence(first, last, F.lit(_RUN).cast("long"))).otherwise(F.array(_PLACED))
+    in_run = F.sequence(F.col(_START), F.col(_START) + F.least(last - F.col(_START), F.lit(_RUN - 1)))
     cells = (
-        tallies.withColumn(_PLACED, F.explode(starts))
+        tallies.withColumn(_START, F.explode(starts))
         .withColumn(
             period,
-            F.explode(
-                F.when(is_population, in_run)
-                .otherwise(F.transform(set_bits, lambda i: F.col(_PLACED) + i))
-                .cast(T.ArrayType(period_type))
-            ),
+            F.explode(F.when(is_population, in_run).otherwise(F.array(_START)).cast(T.ArrayType(period_type))),
         )
         .select(
             *by,

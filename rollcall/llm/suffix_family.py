@@ -200,8 +200,11 @@ def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
+    key = key[order]
+    new = np.zeros(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+    out[order] = np.cumsum(new)
     return out
 
 
@@ -211,7 +214,8 @@ def suffix_order(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     By prefix doubling: ranks of 8 bytes at every place give those of 16, 32 and 50.
     """
     n = len(text) - 7
-    rank, span = _ranks(_word(text, np.arange(n))), 8
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8))
+    rank, span = _ranks(windows.view(">u8")[:, 0].astype(np.uint64)), 8
     for step in (8, 16, LENGTH - 32):
         rank = (rank[: n - span - step + 8] << np.uint64(32)) | rank[step : n - span + 8]
         span += step
@@ -238,14 +242,27 @@ def merge_scan(a: Level, b: Level) -> tuple[np.ndarray, np.ndarray, Level]:
     equals; which differ from the one before; and both texts with all places.
 
     Both sides come in order of their first bytes, so a stable sort merges two runs; only
-    strings that are still tied are compared by the bytes after.
+    strings that are still tied are compared by the bytes after, two of them directly.
     """
     both = Level(np.concatenate([a.text, b.text]), np.concatenate([a.places, b.places + len(a.text)]), np.concatenate([a.first, b.first]))
     word = _word(both.text, both.places)
     order = np.argsort(word, kind="stable")
     new = np.r_[True, word[order][1:] != word[order][:-1]]
-    for step in (8, 16, 24, 32, 40, LENGTH - 8):
-        tied = np.flatnonzero(~new | np.r_[~new[1:], False])
+    steps = (8, 16, 24, 32, 40, LENGTH - 8)
+    bounds = np.flatnonzero(np.r_[new, True])
+    size = np.diff(bounds)
+    two = bounds[:-1][size == 2]
+    one, other = both.places[order[two]], both.places[order[two + 1]]
+    equal = np.arange(len(two))
+    for step in steps:
+        x, y = _word(both.text, one[equal] + step), _word(both.text, other[equal] + step)
+        new[two[equal[x != y]] + 1] = True
+        turn = two[equal[x > y]]
+        order[turn], order[turn + 1] = order[turn + 1], order[turn]
+        equal = equal[x == y]
+    rest = np.repeat(size > 2, size)
+    for step in steps:
+        tied = np.flatnonzero(rest & (~new | np.r_[~new[1:], False]))
         if not len(tied):
             break
         some, group = order[tied], np.cumsum(new)[tied]
@@ -350,6 +367,24 @@ def _candidates(doc: np.ndarray, count: np.ndarray, place: np.ndarray, size: np.
     return np.flatnonzero(some)
 
 
+def _equal_before(doc: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which stretches, by ascending document, are equal to one of a smaller document."""
+    text = joined_ranges(data, begin, size)
+    end = np.cumsum(size)
+    hasher = Hasher()
+    h = hasher.ranges(hasher.sums(text), end - size, end)
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, (h[order][1:] != h[order][:-1])]
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    able = (doc[first] < doc[order]) & (size[first] == size[order])
+    first, later = first[able], order[able]
+    if not len(later):
+        return later
+    n = size[later]
+    differ = joined_ranges(text, (end - size)[first], n) != joined_ranges(text, (end - size)[later], n)
+    return later[np.add.reduceat(differ, np.cumsum(n) - n) == 0]
+
+
 def repeated(parts: list[tuple[np.ndarray, ...]], levels: Levels, keep: bool) -> tuple[np.ndarray, ...]:
     """Document, tag, start and stop of the ranges to remove, from one bucket's stretches.
 
@@ -364,7 +399,11 @@ def repeated(parts: list[tuple[np.ndarray, ...]], levels: Levels, keep: bool) ->
     if not len(some):
         return doc[:0], tag[:0], start[:0], start[:0]
     some = some[np.argsort(doc[some], kind="stable")]
-    out: list[tuple[np.ndarray, ...]] = []
+    # What equals a whole stretch of a smaller document goes, and adds no string.
+    known = _equal_before(doc[some], size[some], begin[some], data)
+    mine = some[known]
+    out = [(doc[mine], tag[mine], start[mine], start[mine] + size[mine])]
+    some = np.delete(some, known)
     filled = np.cumsum(count[some])
     at = 0
     while at < len(some):

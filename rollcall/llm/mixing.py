@@ -267,10 +267,12 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED, block_wo
     bucket_uses = (
         spans.join(uses, ["source_no", "block"], "left")
         .groupBy("source_no", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0)).alias("n")))).alias("all_uses"))
+        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0)).alias("n")))).alias("blocks"))
+        # Once a bucket, so that a row slices plain numbers.
+        .select("source_no", "bucket", F.col("blocks")[0]["block"].alias("bucket_block"), F.transform("blocks", lambda b: b["n"]).alias("all_uses"))
     )
     per_bucket_facts = placed.join(bucket_uses, ["source_no", "bucket"], "left").select(
-        "source_no", "bucket", "bucket_from", "all_uses"
+        "source_no", "bucket", "bucket_from", "bucket_block", "all_uses"
     )
     within = (
         Window.partitionBy("source_no", "bucket")
@@ -288,14 +290,10 @@ def mix_plan(rows: DataFrame, sizes_of: DataFrame, *, seed: int = SEED, block_wo
             "uses",
             F.when(
                 F.col("size") > 0,
-                F.slice(
-                    F.transform("all_uses", lambda u: u["n"]),
-                    (F.col("first_block") - F.col("all_uses")[0]["block"] + 1).cast("int"),
-                    n.cast("int"),
-                ),
+                F.slice("all_uses", (F.col("first_block") - F.col("bucket_block") + 1).cast("int"), n.cast("int")),
             ).otherwise(F.array().cast("array<int>")),
         )
-        .drop("source_no", "bucket", "row_hash", "order_id", "before", "bucket_from", "all_uses")
+        .drop("source_no", "bucket", "row_hash", "order_id", "before", "bucket_from", "bucket_block", "all_uses")
     )
 
 

@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     round every node moves to the node of lowest priority within two steps, and what is
     left between the places moved to are the next round's edges. Priorities are hashes
     that differ by round, so chains shrink as stars do, by a constant factor at least.
-    Nothing is gathered per node or component.
+    Nothing is gathered per node or component: aggregates are partial, and joins are with
+    written tables of a row per node, so that the side of a hub's edges can be split.
 
     Returns ``node, component``.
     """
@@ -58,5 +59,6 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
     if placed is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    smallest = placed.groupBy("root").agg(F.min("node").alias("component"))
+    # Written, so that a giant component's join can be split.
+    smallest = written(placed.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     return placed.join(smallest, "root").select("node", "component")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.scratch import written
@@ -29,8 +29,10 @@ REGISTERS = 256
 BAND_REGISTERS = 6
 BANDS = REGISTERS // BAND_REGISTERS
 
-#: Documents of one block, when what a bucket still holds is compared in blocks.
+#: Documents of one block, and their shingles, when what buckets still hold is compared in
+#: blocks. A longer document is a block of its own.
 BLOCK = 256
+BLOCK_SHINGLES = 400_000
 
 # Sums of fractions may fall short of the similarity they stand for.
 _SLACK = 1e-9
@@ -108,6 +110,14 @@ def similarity(item_a: np.ndarray, a: np.ndarray, item_b: np.ndarray, b: np.ndar
     return float((1.0 / (sum_a / wa + sum_b / wb)).sum())
 
 
+def _text_keys(row: np.ndarray, item: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two 64-bit keys of the weighted shingles of each of ``n`` rows."""
+    both = [np.zeros(n, np.uint64) for _ in range(2)]
+    for i, total in enumerate(both):
+        np.add.at(total, row, mix(item * np.uint64(2 * i + 3) + mix(count.astype(np.uint64) + np.uint64(i))))
+    return [b.view(np.int64) for b in both]
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """``doc_id, key_a, key_b, bands``: the shingles as one key, and the band keys."""
 
@@ -121,15 +131,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 held = np.unique(row)
                 dense = np.searchsorted(held, row)
                 keys = band_keys(sketches(dense, item, count, len(held))) if len(held) else np.zeros((0, BANDS), np.int64)
-                both = [np.zeros(len(held), np.uint64) for _ in range(2)]
-                for i, total in enumerate(both):
-                    np.add.at(total, dense, mix(item * np.uint64(2 * i + 3) + mix(count.astype(np.uint64) + np.uint64(i))))
+                both = _text_keys(dense, item, count, len(held))
                 ids = batch.column(0).slice(first, n).take(pa.array(held))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
-                        pa.array(both[0].view(np.int64)),
-                        pa.array(both[1].view(np.int64)),
+                        pa.array(both[0]),
+                        pa.array(both[1]),
                         pa.ListArray.from_arrays(np.arange(len(held) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel())),
                     ],
                     ["doc_id", "key_a", "key_b", "bands"],
@@ -150,10 +158,27 @@ def _sets(column: pa.Array, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.nda
             yield item[lo:hi], count[lo:hi]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``rep, key_a, text``: the rows' ids, and the first key of their texts."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            for first, last, part, ends in chunks(data, offsets):
+                n = last - first
+                keys = _text_keys(*weighted(hasher, part, ends), n)[0]
+                some = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys), some.column(1)], ["rep", "key_a", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(key, "rep long, key_a long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
+    """Those of ``pairs`` (``a`` and ``b``, each a rep and a key) whose texts are similar enough, as reps."""
+    at = F.struct("rep", "key_a")
+    both = pairs.join(texts.select(at.alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(at.alias("b"), F.col("text").alias("text_b")), "b"
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +190,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             ]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "text_a", "text_b").mapInArrow(
+        verify, "a long, b long"
+    )
 
 
 def spanning_links(
@@ -208,40 +235,155 @@ def spanning_links(
     return out
 
 
-def _linked_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links between the classes that meet in a bucket, as many as connect them.
+def _shingled(texts: DataFrame) -> DataFrame:
+    """``rep, key_a, size, total, items, counts``: distinct shingles, all shingles, and which they are.
 
-    ``rows`` has ``key``, ``rep`` and ``c``, the class. The documents of a bucket are dealt
-    into blocks, and every two blocks are compared within one task, shingle by shingle;
-    only links come out.
+    ``counts`` is null where every shingle occurs once.
     """
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            sets = list(_sets(batch.column(1), hasher))
+            sets = list(_sets(batch.column(2), hasher))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
+                    pa.array([len(i) for i, _ in sets], pa.int64()),
+                    pa.array([int(c.sum()) for _, c in sets], pa.int64()),
                     pa.array([i.astype(np.int64) for i, _ in sets], pa.list_(pa.int64())),
                     pa.array([c.astype(np.int32) if (c > 1).any() else None for _, c in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "items", "counts"],
+                ["rep", "key_a", "size", "total", "items", "counts"],
             )
 
-    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(
-        shingled, "doc_id long, items array<long>, counts array<int>"
+    return texts.select("rep", "key_a", "text").mapInArrow(
+        shingle, "rep long, key_a long, size long, total long, items array<long>, counts array<int>"
+    )
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """The shingles by which similar documents of different classes must meet.
+
+    Shingles are ordered, those that meet no other class first and the others by how many
+    documents hold them. What two similar documents have in common begins with some shingle,
+    and neither can hold less than the common weight from there on: the threshold's share of
+    its own at least. Where no shingle occurs twice in either, the smaller one must hold
+    ``2t / (1 + t)`` of its own; ``strong`` tells whether the document does, or whether it
+    has repeated shingles. So of every two similar documents one is strong where they meet.
+
+    Returns ``token, rep, key_a, c, cost, strong``; ``cost`` is the share of a block.
+    """
+    each = sets.select(
+        "rep",
+        "key_a",
+        "c",
+        "size",
+        "total",
+        F.explode(F.arrays_zip("items", F.coalesce("counts", F.array_repeat(F.lit(1), F.col("size").cast("int"))).alias("counts"))).alias("one"),
+    ).select("rep", "key_a", "c", "size", "total", F.col("one.items").alias("token"), F.col("one.counts").alias("weight"))
+    met = written(
+        each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token", "n"),
+        "met",
+    )
+    order = Window.partitionBy("rep", "key_a").orderBy(F.desc("n"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = each.join(met, "token").withColumn("rest", F.sum("weight").over(order) + F.lit(1e-6))
+    return rest.where(F.col("rest") >= threshold * F.col("total")).select(
+        "token",
+        "rep",
+        "key_a",
+        "c",
+        F.greatest(F.col("size") / BLOCK_SHINGLES, F.lit(1.0 / BLOCK)).alias("cost"),
+        ((F.col("size") < F.col("total")) | (F.col("rest") >= 2 * threshold / (1 + threshold) * F.col("total"))).alias("strong"),
+    )
+
+
+def _dealt(prefixes: DataFrame) -> DataFrame:
+    """``unit, rep, key_a, c``: documents that share a shingle, in units of two blocks at most.
+
+    Groups with the same members are gone through once. In a large group, strong documents
+    and others are dealt into blocks apart, and those of the class that weighs most apart
+    from both. Two blocks meet only if they may hold a strong document and two classes, so
+    neither a large class nor many documents that are not strong meet themselves.
+    """
+    of = F.xxhash64("rep", "key_a", "strong")
+    by_class = prefixes.groupBy("token", "c").agg(
+        F.sum(F.when(F.col("strong"), F.col("cost")).otherwise(0.0)).alias("strong"),
+        F.sum(F.when(F.col("strong"), 0.0).otherwise(F.col("cost"))).alias("weak"),
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(of).alias("sign"),
+        F.bit_xor(F.xxhash64(of, F.lit(1))).alias("other_sign"),
+    )
+    groups = (
+        by_class.groupBy("token")
+        .agg(
+            F.sum("strong").alias("strong"),
+            F.sum("weak").alias("weak"),
+            F.max(F.struct((F.col("strong") + F.col("weak")).alias("cost"), "c", "strong", "weak")).alias("major"),
+            F.count(F.lit(1)).alias("classes"),
+            F.sum("n").alias("n"),
+            F.bit_xor("sign").alias("sign"),
+            F.bit_xor("other_sign").alias("other_sign"),
+        )
+        .where("classes > 1 and strong > 0")
+        .groupBy("n", "sign", "other_sign")
+        .agg(F.min(F.struct("token", "strong", "weak", "major")).alias("group"))
+    )
+
+    def blocks(cost: Column, nothing: Column) -> Column:
+        return F.when(nothing, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(cost))).cast("bigint")
+
+    g, tiny = F.col("group"), 0.5 / BLOCK  # below the least cost of a document
+    parts = {
+        "os": g["strong"] - g["major"]["strong"],
+        "ow": g["weak"] - g["major"]["weak"],
+        "ms": g["major"]["strong"],
+        "mw": g["major"]["weak"],
+    }
+    sized = written(
+        groups.select(
+            g["token"].alias("token"),
+            g["major"]["c"].alias("major"),
+            (g["strong"] + g["weak"] <= 1.0).alias("whole"),
+            *(blocks(cost, cost < tiny).alias(name) for name, cost in parts.items()),
+        ),
+        "groups",
+    )
+
+    def run(name: str) -> Column:
+        first = list(parts).index(name) << 40
+        labels = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1), lambda i: i + F.lit(first))
+        return F.when(F.col(name) > 0, labels).otherwise(F.array().cast("array<bigint>"))
+
+    own = F.xxhash64("rep", "key_a")
+    kind = F.when(F.col("c") == F.col("major"), F.when(F.col("strong"), "ms").otherwise("mw")).otherwise(
+        F.when(F.col("strong"), "os").otherwise("ow")
     )
-    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    mine = F.pmod(F.xxhash64("rep"), "blocks")
-    dealt = (
-        rows.join(blocks, "key")
-        .select("key", "rep", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-        .select("key", "rep", "c", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
-        .select(F.xxhash64("key", "one", "two").alias("unit"), "rep", "c")
+    meets = {"os": ["os", "ow", "ms", "mw"], "ow": ["os", "ms"], "ms": ["os", "ow"], "mw": ["os"]}
+    mine, others = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    for name, partners in meets.items():
+        here = F.col("kind") == name
+        mine = F.when(here, F.pmod(own, F.greatest(F.col(name), F.lit(1).cast("bigint"))) + F.lit(list(parts).index(name) << 40)).otherwise(mine)
+        others = F.when(here, F.concat(*(run(p) for p in partners))).otherwise(others)
+    return (
+        prefixes.join(sized, "token")
+        .withColumn("kind", kind)
+        .withColumn("mine", F.when(F.col("whole"), F.lit(0)).otherwise(mine))
+        .withColumn("other", F.explode(F.when(F.col("whole"), F.array(F.lit(0).cast("bigint"))).otherwise(others)))
+        .select(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "rep", "key_a", "c")
     )
 
+
+def _linked_in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between the classes of ``mixed`` (``rep, key_a, c``), as many as connect them.
+
+    Documents meet by the shingles of their prefixes. Those that share one are compared
+    within a task, shingle by shingle, in blocks where they are many; only links come out.
+    """
+    sets = written(_shingled(texts.join(mixed.select("rep", "key_a"), ["rep", "key_a"], "left_semi")), "sets")
+    classed = sets.join(mixed, ["rep", "key_a"])
+    dealt = _dealt(written(_prefixes(classed, threshold), "prefixes"))
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
@@ -268,7 +410,7 @@ def _linked_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float) -> Da
             yield found()
 
     return (
-        dealt.join(sets, F.col("rep") == F.col("doc_id"))
+        dealt.join(sets, ["rep", "key_a"])
         .select("unit", "rep", "c", "items", "counts")
         .repartition("unit")
         .sortWithinPartitions("unit", "rep")
@@ -282,48 +424,76 @@ def near_duplicates(docs: DataFrame, *, threshold: float = SIMILARITY) -> DataFr
     ``docs`` has ``doc_id`` and ``text``; other columns are left aside. Documents with the
     same shingles are one to begin with, however many there are. Others are linked where
     their similarity is at least ``threshold``, and classes are what links connect. A text
-    without words, or null, is alone; rows with one id are one document; rows without an
-    id are alone, without a class. An empty table gives no rows.
+    without words, or null, is alone; rows with one id are one document, which links as any
+    of their texts does; rows without an id are alone, without a class. An empty table gives
+    no rows.
 
     Each document is first compared with the smallest of the buckets it is in, the one it
-    shares most of them with, and the links found are joined into classes. Only buckets that
-    still hold several classes are gone through further, in blocks of documents whose
-    shingles are compared within a task. No pair of documents is formed outside.
+    shares most of them with, and the links found are joined into classes. Only documents of
+    buckets that still hold several classes are gone through further. They meet by their
+    rarest shingles, as many as similar documents cannot all differ in, and are compared in
+    blocks within a task. No pair of documents is formed outside. Documents of one template
+    that are less alike than the threshold share only common shingles, so mostly do not meet.
 
     Returns ``doc_id, class_id, kept``: the smallest id of the class, and whether it is
     the document's own. Rows without an id are kept.
     """
+    # A text is told by its first key and the smallest id that has it; two texts of one id
+    # differ in the key. Classes are of ids.
     sketched = written(_sketched(docs), "sketches")
     reps = written(
         sketched.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts"
     )
-    in_bands = reps.select("rep", F.explode("bands").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = written(in_bands.join(shared.select("key", "leader"), "key"), "buckets")
-    ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-
-    votes = buckets.where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("n"))
-    nearest = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("best"))
-    pairs = nearest.select(F.col("rep").alias("a"), (-F.col("best.minus")).alias("b"))
-    links = written(_verified(pairs, texts, threshold), "links")
-
-    known = components(links)
+    in_bands = reps.select(F.struct("rep", "key_a").alias("node"), F.explode("bands").alias("key"))
+    # Written, so that the join that a very common key goes through can be split.
+    shared = written(
+        in_bands.groupBy("key")
+        .agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("key", "leader"),
+        "shared",
+    )
+    buckets = written(in_bands.join(shared, "key"), "buckets")
+    nodes = buckets.select("node.rep", "node.key_a").distinct()
+    some = docs.select("doc_id", "text").where("text is not null").join(
+        nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"
+    )
+    texts = written(
+        _keyed(some).join(nodes, ["rep", "key_a"], "left_semi").dropDuplicates(["rep", "key_a"]), "candidates"
+    )
+
+    votes = buckets.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    nearest = votes.groupBy("node").agg(F.max_by("leader", F.struct("n", -F.col("leader.rep"), "leader.key_a")).alias("leader"))
+    pairs = nearest.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = _verified(pairs, texts, threshold)
+
+    # Rows with one id are one document, whatever their texts.
+    twice = sketched.groupBy("doc_id").agg(F.min("key_a").alias("low"), F.max("key_a").alias("high")).where("low <> high")
+    same = (
+        sketched.join(twice.select("doc_id"), "doc_id", "left_semi")
+        .join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"])
+        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    )
+    links = written(links.unionByName(same), "links")
+
+    known = written(components(links), "known")
     classed = written(
-        buckets.select("key", "rep")
-        .join(known, F.col("rep") == F.col("node"), "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("c")),
+        buckets.select("key", "node", F.col("node.rep").alias("rep"))
+        .join(known.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("key", "node", F.coalesce("component", "rep").alias("c")),
         "classed",
     )
-    several = classed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    mixed = written(classed.join(several.select("key"), "key"), "mixed")
+    several = written(
+        classed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key"),
+        "several",
+    )
+    mixed = written(classed.join(several, "key", "left_semi").select("node.rep", "node.key_a", "c").distinct(), "mixed")
     links = links.unionByName(written(_linked_in_blocks(mixed, texts, threshold), "links"))
 
     classes = components(links)
     of_rep = reps.select("key_a", "key_b", "rep").join(classes, F.col("rep") == F.col("node"), "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("class_id")
     )
-    # Rows with one id are one document, whatever their texts.
     member = (
         sketched.select("doc_id", "key_a", "key_b")
         .join(of_rep, ["key_a", "key_b"])

@@ -543,6 +543,70 @@ def test_near_duplicate_classes(documents, crowded, odd_texts, monkeypatch, bloc
     assert got.count() == len(rows)
 
 
+def keyed_texts(docs):
+    """Texts as the comparison in blocks takes them, each a class of its own."""
+    texts = probminhash.written(probminhash._keyed(docs), "keyed")
+    return texts, texts.select("rep", "key_a", F.col("rep").alias("c"))
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_every_link_between_classes_is_met_in_blocks(documents, monkeypatch, joined):
+    """Against all pairs: texts of many sizes around the threshold, some with repeated shingles."""
+    monkeypatch.setattr(probminhash, "BLOCK", 3)
+    bases = [prose(400, 60), prose(401, 60) + " tail of it" * 12, prose(402, 150)]
+    r, rows = random.Random(9), []
+    for i in range(90):
+        words = edited(bases[i % 3], i, i % 5).split()
+        cut = r.randrange(0, len(words) // 5)  # shorter texts, whose share in common is near the threshold
+        rows.append((i, " ".join(words[: len(words) - cut])))
+    texts, mixed = keyed_texts(documents(rows))
+    if joined:  # a class that weighs most in many groups; its members need no links
+        mixed = mixed.withColumn("c", F.when((F.col("rep") % 3 == 0) & (F.col("rep") < 60), 0).otherwise(F.col("c")))
+    links = probminhash._linked_in_blocks(mixed, texts, 0.8).collect()
+    sets = {i: shingle_counts(t) for i, t in rows}
+    assert all(probability_jaccard(sets[x["a"]], sets[x["b"]]) >= 0.8 - 1e-9 for x in links)
+    near = [(a, b) for a in sets for b in range(a) if probability_jaccard(sets[a], sets[b]) >= 0.8 - 1e-9]
+    given = [(i, 0) for i in range(0, 60, 3)] if joined else []
+    assert len(near) > 200
+
+    def parts(edges):
+        parent = list(range(len(rows)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+        return [root(i) for i in range(len(rows))]
+
+    assert parts(given + [(x["a"], x["b"]) for x in links]) == parts(given + near)
+
+
+def test_pages_of_one_template_do_not_meet(documents, monkeypatch):
+    """Alike, but less than the threshold: what moves grows with the pages, not with their pairs."""
+    common, moved = prose(500, 100).split(), []
+    for n in (150, 600):
+        rows = [(i, " ".join(common[:50] + prose(1000 + i, 18).split() + [f"own{i}x{k}" for k in range(18)] + common[50:])) for i in range(n)]
+        texts, mixed = keyed_texts(documents(rows))
+        sets = probminhash._shingled(texts).join(mixed, ["rep", "key_a"])
+        prefixes = probminhash.written(probminhash._prefixes(sets, 0.8), "prefixes")
+        moved.append(prefixes.count())
+        assert probminhash._dealt(prefixes).count() <= n
+    assert moved[1] <= 5 * max(moved[0], 150)
+
+
+def test_texts_of_one_id_are_one_document(documents):
+    a, b, c, d = (prose(600 + i, 90) for i in range(4))
+    rows = [(1, a), (1, b), (2, edited(a, 1, 1)), (3, edited(b, 2, 1)), (5, c), (6, c), (6, d), (6, c), (7, edited(d, 3, 1)), (8, prose(610, 90))]
+    got = probminhash.near_duplicates(documents(rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == sorted(
+        (i, {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 8}[i]) for i, _ in rows
+    )
+
+
 def test_one_of_each_class_stays(documents):
     base = prose(1, 100)
     docs = documents([(1, base), (2, base), (3, edited(base, 1, 1)), (4, prose(2, 100)), (5, ""), (6, None)])

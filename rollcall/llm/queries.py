@@ -142,6 +142,110 @@ _CHAT_SQL = r"""
     GROUP BY conv_id
 """
 
+_NEAR_TEXTS_SQL = r"""
+    WITH RECURSIVE texts AS (
+        SELECT MIN(doc_id) AS rep, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+        WHERE text IS NOT NULL
+        GROUP BY text
+    ),
+    said AS (
+        SELECT rep, UNNEST(words) AS word, generate_subscripts(words, 1) AS pos FROM texts
+    ),
+    five AS (
+        SELECT rep, word || ' ' || LEAD(word) OVER doc || ' ' || LEAD(word, 2) OVER doc
+                   || ' ' || LEAD(word, 3) OVER doc || ' ' || LEAD(word, 4) OVER doc AS shingle
+        FROM said
+        WINDOW doc AS (PARTITION BY rep ORDER BY pos)
+    ),
+    weights AS (
+        SELECT rep, shingle, CAST(COUNT(*) AS DOUBLE) AS w
+        FROM (SELECT rep, shingle FROM five WHERE shingle IS NOT NULL
+              UNION ALL
+              SELECT rep, array_to_string(words, ' ') FROM texts WHERE len(words) BETWEEN 1 AND 4)
+        GROUP BY rep, shingle
+    ),
+    totals AS (
+        SELECT rep, SUM(w) AS total FROM weights GROUP BY rep
+    ),
+    -- The similarity is at most the weight in common, of either.
+    able AS (
+        SELECT p.a, p.b, s.total AS total_a, t.total AS total_b, p.common_a
+        FROM (SELECT x.rep AS a, y.rep AS b, SUM(x.w) AS common_a, SUM(y.w) AS common_b
+              FROM weights x JOIN weights y ON y.shingle = x.shingle AND x.rep < y.rep
+              GROUP BY x.rep, y.rep) p
+        JOIN totals s ON s.rep = p.a
+        JOIN totals t ON t.rep = p.b
+        WHERE p.common_a >= 0.799 * s.total AND p.common_b >= 0.799 * t.total
+    ),
+    -- Of a shingle d in common: the sum over all shingles e of max(a_e / a_d, b_e / b_d).
+    -- The first is the larger for those with a_e / b_e at least a_d / b_d.
+    common AS (
+        SELECT p.a, p.b, x.w AS wa, y.w AS wb,
+               SUM(x.w) OVER larger + p.total_a - p.common_a AS sum_a,
+               p.total_b - SUM(y.w) OVER larger AS sum_b
+        FROM able p
+        JOIN weights x ON x.rep = p.a
+        JOIN weights y ON y.rep = p.b AND y.shingle = x.shingle
+        WINDOW larger AS (PARTITION BY p.a, p.b ORDER BY x.w / y.w DESC
+                          RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ),
+    links AS (
+        SELECT a, b FROM common GROUP BY a, b HAVING SUM(1 / (sum_a / wa + sum_b / wb)) >= 0.8 - 1e-9
+    ),
+    reach AS (
+        SELECT rep AS node, rep AS low FROM texts
+        UNION
+        SELECT l.b, r.low
+        FROM reach r
+        JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.node AND r.low < l.b
+    ),
+    classes AS (
+        SELECT node, MIN(low) AS class_id FROM reach GROUP BY node
+    ),
+    classed AS (
+        SELECT d.doc_id, CASE WHEN len(t.words) > 0 THEN c.class_id ELSE d.doc_id END AS class_id
+        FROM documents d
+        LEFT JOIN texts t ON t.text = d.text
+        LEFT JOIN classes c ON c.node = t.rep
+    )
+    SELECT doc_id, class_id, class_id = doc_id AS kept FROM classed
+"""
+
+_NEAR_VECTORS_SQL = """
+    WITH RECURSIVE vectors AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+        SELECT x.vec_id AS a, y.vec_id AS b
+        FROM vectors x
+        JOIN vectors y ON y.label = x.label AND y.vec_id <> x.vec_id
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+    ),
+    reach AS (
+        SELECT vec_id AS node, vec_id AS low FROM embeddings
+        UNION
+        SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node AND r.low < l.b
+    ),
+    components AS (
+        SELECT node, MIN(low) AS component_id FROM reach GROUP BY node
+    ),
+    degrees AS (
+        SELECT a, COUNT(*) AS n_links FROM links GROUP BY a
+    )
+    SELECT e.vec_id,
+           CAST(COALESCE(n_links, 0) AS BIGINT) AS n_links,
+           component_id,
+           component_id = e.vec_id AS kept
+    FROM embeddings e
+    JOIN components c ON c.node = e.vec_id
+    LEFT JOIN degrees d ON d.a = e.vec_id
+"""
+
 _LINES_SQL = """
     WITH lines AS (
         SELECT doc_id,
@@ -182,6 +286,60 @@ _LINES_SQL = """
     LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+_REPEATS_SQL = """
+    WITH bytes AS (
+        SELECT doc_id, hex(encode(COALESCE(text, ''))) AS digits,
+               strlen(COALESCE(text, '')) AS n_bytes
+        FROM documents
+    ),
+    -- Stretches of 256 places, so that no string is cut out of a long text.
+    stretches AS (
+        SELECT doc_id, n_bytes, start, substr(digits, 2 * start + 1, 2 * (256 + 49)) AS part
+        FROM (SELECT *, UNNEST(range(0, n_bytes - 49, 256)) AS start FROM bytes)
+    ),
+    strings AS (
+        SELECT doc_id, start + i AS pos, substr(part, 2 * i + 1, 100) AS said
+        FROM (SELECT *, UNNEST(range(0, LEAST(256, n_bytes - 49 - start))) AS i FROM stretches)
+    ),
+    first_met AS (
+        SELECT said, MIN(doc_id) AS first_id FROM strings GROUP BY said HAVING MIN(doc_id) < MAX(doc_id)
+    ),
+    places AS (
+        SELECT doc_id, pos, pos - LAG(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap
+        FROM strings
+        JOIN first_met USING (said)
+        WHERE doc_id > first_id
+    ),
+    runs AS (
+        SELECT doc_id, pos, COUNT(CASE WHEN gap <= 50 THEN NULL ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+        FROM places
+    ),
+    spans AS (
+        SELECT doc_id, MIN(pos) AS first_byte, MAX(pos) + 50 AS after FROM runs GROUP BY doc_id, run
+    ),
+    -- What is kept lies before the first span and after each.
+    cuts AS (
+        SELECT doc_id, first_byte, after FROM spans
+        UNION ALL
+        SELECT doc_id, NULL, 0 FROM bytes
+    ),
+    kept AS (
+        SELECT doc_id, first_byte, after,
+               LEAD(first_byte) OVER (PARTITION BY doc_id ORDER BY after) AS next_byte
+        FROM cuts
+    )
+    SELECT b.doc_id,
+           CAST(ANY_VALUE(b.n_bytes) AS BIGINT) AS n_bytes,
+           CAST(COALESCE(SUM(k.after - k.first_byte), 0) AS BIGINT) AS n_removed,
+           CAST(COUNT(k.first_byte) AS BIGINT) AS n_spans,
+           sha256(unhex(string_agg(
+               substr(b.digits, 2 * k.after + 1, 2 * (COALESCE(k.next_byte, b.n_bytes) - k.after)), '' ORDER BY k.after
+           ))) AS kept_sha256
+    FROM bytes b
+    JOIN kept k ON k.doc_id = b.doc_id
+    GROUP BY b.doc_id
+"""
+
 _MIDDLE_SQL = """
     WITH drawn AS (
         SELECT doc_id,
@@ -354,7 +512,10 @@ _BENCHMARK_SQL = r"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _CHAT_SQL,
+    "op4_minhash_near_dedup": _NEAR_TEXTS_SQL,
+    "op6_embedding_near_dedup": _NEAR_VECTORS_SQL,
     "op7_line_dedup": _LINES_SQL,
+    "op8_suffix_array_dedup": _REPEATS_SQL,
     "op11_fill_in_middle": _MIDDLE_SQL,
     "op12_merkle_manifest": _MERKLE_SQL,
     "op13_benchmark_decontamination": _BENCHMARK_SQL,

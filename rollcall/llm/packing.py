@@ -16,12 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, mix, word_spans
+from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, mix, word_bytes, word_spans
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_BYTES = 4 << 20
 ROW_BYTES = 64
+#: Text that is cut into words at once: a worker holds about 30 bytes for each of these.
+TOKEN_BYTES = 1 << 19
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -57,9 +59,9 @@ def word_tokens(path: str) -> Interned:
         for at in range(0, len(runs), 1000):
             some = runs[at : at + 1000]
             ids = ids_of(b" ".join([parts[i] for i in some]).decode())
-            stops = np.flatnonzero(ends_word[ids]) + 1
-            for i, piece in zip(some, np.split(ids, stops[:-1]), strict=True):
-                out[i] = piece
+            stops = (np.flatnonzero(ends_word[ids]) + 1).tolist()
+            for i, first, last in zip(some, [0, *stops[:-1]], stops, strict=True):
+                out[i] = ids[first:last]
         for i, p in enumerate(parts):
             if out[i] is None:
                 out[i] = ids_of(p.decode("utf-8", "replace"))
@@ -68,27 +70,34 @@ def word_tokens(path: str) -> Interned:
     return Interned(make, np.uint32)
 
 
+def _chunk_ids(part: np.ndarray, ends: np.ndarray, tokens: Interned) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the rows that end at ``ends``, end to end, and how many each row has."""
+    start, end, row = word_spans(part, ends)
+    where = np.concatenate([[0], np.cumsum(end - start)])
+    letters = word_bytes(part)
+    # Special strings hold a bar after letters; contractions start with an apostrophe.
+    cut = letter_ends(letters, b"'|")
+    cut[where[:-1]] = True
+    first = np.flatnonzero(cut)
+    row = row[np.searchsorted(where, first, "right") - 1]
+    # Case is told apart only in special strings, which have a bar.
+    if len(first):
+        upper = (letters >= 0x41) & (letters <= 0x5A)
+        bars = np.add.reduceat(letters == 0x7C, first) > 0
+        if bars.any():
+            upper &= ~np.repeat(bars, np.diff(np.append(first, len(letters))))
+        letters = np.where(upper, letters + np.uint8(32), letters)
+    codes = tokens(letters, np.append(first, len(letters)))
+    return tokens.joined(codes), np.bincount(row, tokens.size[codes], len(ends) - 1).astype(np.int64)
+
+
 def token_rows(column: pa.Array, tokens: Interned, end_id: int) -> Iterator[np.ndarray]:
     """The ids of every row of a string column, each with ``end_id`` at its end."""
     data, offsets = column_bytes(column)
-    for _, _, part, ends in chunks(data, offsets):
-        start, end, row = word_spans(part, ends)
-        size = end - start
-        where = np.concatenate([[0], np.cumsum(size)])
-        letters = part[np.arange(int(where[-1])) + np.repeat(start - where[:-1], size)]
-        # Special strings hold a bar after letters; contractions start with an apostrophe.
-        cut = letter_ends(letters, b"'|")
-        cut[where[:-1]] = True
-        first = np.flatnonzero(cut)
-        row = row[np.searchsorted(where, first, "right") - 1]
-        # Case is told apart only in special strings, which have a bar.
-        if len(first):
-            barred = np.repeat(np.add.reduceat(letters == 0x7C, first) > 0, np.diff(np.append(first, len(letters))))
-            upper = (letters >= 0x41) & (letters <= 0x5A) & ~barred
-            letters = np.where(upper, letters + np.uint8(32), letters)
-        codes = tokens(letters, np.append(first, len(letters)))
-        ids = tokens.joined(codes)
-        counts = np.bincount(row, tokens.size[codes], len(ends) - 1).astype(np.int64)
+    for _, _, part, ends in chunks(data, offsets, TOKEN_BYTES):
+        ids, counts = _chunk_ids(part, ends, tokens)
+        # Arrow keeps what looking words up took, far more than the words themselves need.
+        pa.default_memory_pool().release_unused()
         stops = np.cumsum(counts)
         for first_id, last_id in zip(stops - counts, stops):
             out = np.empty(last_id - first_id + 1, np.uint32)

@@ -102,6 +102,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, row
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """The bytes of all words, end to end."""
+    return data[~_IS_SEP[data]]
+
+
 def shingles(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` consecutive words and their rows.
 

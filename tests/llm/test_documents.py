@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,24 @@ def test_very_many_empty_texts_go_into_several_groups(spark, monkeypatch):
     assert got.agg(F.sum("length")).first()[0] == 30_000
 
 
+def test_packing_cuts_text_into_words_in_bounded_memory(monkeypatch):
+    tokens = packing.word_tokens(tokenizer_path(WORD_BPE))
+    column = pa.array(["A walk in the park, isn't it? Yes <|x|> it is. " * 400] * 200)
+    given_back = []
+    pool = pa.default_memory_pool()
+    monkeypatch.setattr(packing.pa, "default_memory_pool", lambda: given_back.append(1) or pool)
+    once = next(packing.token_rows(column, tokens, 1))
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for ids in packing.token_rows(column, tokens, 1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 200 * len(once)
+    assert peak < 24 << 20
+    assert len(given_back) > 1
+
+
 def test_packing_of_repeated_rows_and_empty_tables(documents):
     twice = documents([(1, "a b c"), (1, "a b c"), (None, "d")])
     got = packing.pack(twice, tokenizer_path(WORD_BPE)).collect()

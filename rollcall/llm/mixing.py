@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm.scratch import written
+from rollcall.llm.words import one_by_one
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -397,7 +398,7 @@ def mixed_documents(docs: DataFrame, *, seed: int = SEED, block_words: int = BLO
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in one_by_one(batches):
             cols = [batch.column(i).to_pylist() for i in range(1, 8)]
             texts: list[str] = []
             origin: list[int] = []

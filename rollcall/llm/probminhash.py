@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm.components import components
 from rollcall.llm.scratch import written
-from rollcall.llm.words import Hasher, chunks, column_bytes, mix, shingles, word_spans
+from rollcall.llm.words import Hasher, chunks, column_bytes, mix, one_by_one, shingles, word_spans
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -123,7 +123,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, offsets = column_bytes(batch.column(1))
             for first, last, part, ends in chunks(data, offsets):
                 n = last - first
@@ -163,7 +163,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in one_by_one(batches):
             data, offsets = column_bytes(batch.column(1))
             for first, last, part, ends in chunks(data, offsets):
                 n = last - first
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in one_by_one(batches):
             good = [
                 similarity(*a, *b) >= threshold - _SLACK
                 for a, b in zip(_sets(batch.column(2), hasher), _sets(batch.column(3), hasher))
@@ -243,7 +243,7 @@ def _shingled(texts: DataFrame) -> DataFrame:
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in one_by_one(batches):
             sets = list(_sets(batch.column(2), hasher))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -395,7 +395,7 @@ def _linked_in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> D
                 [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
 
-        for batch in batches:
+        for batch in one_by_one(batches):
             units, reps, classes = (batch.column(i).to_numpy() for i in range(3))
             items, counts = batch.column(3), batch.column(4)
             for i in range(batch.num_rows):

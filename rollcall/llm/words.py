@@ -54,6 +54,16 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> It
         first = last
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what Arrow holds unused after each is given back.
+
+    Workers outlive their tasks, and would keep it for as long as they wait for others.
+    """
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 class Hasher:
     """Polynomial hashes of byte ranges, finished by ``mix``."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm import mixing, packing, probminhash, quality, suffix_family, token_prefix
+from rollcall.llm import mixing, packing, probminhash, quality, suffix_family, token_prefix, words
 from rollcall.llm.line_windows import without_repeated_windows
 from rollcall.llm.queries import table, tokenizer_path
 
@@ -167,6 +167,14 @@ def test_packing_cuts_text_into_words_in_bounded_memory(monkeypatch):
     assert len(given_back) > 1
 
 
+def test_what_arrow_holds_unused_is_given_back_after_every_batch(monkeypatch):
+    released = []
+    pool = type("Pool", (), {"release_unused": lambda self: released.append(1)})()
+    monkeypatch.setattr(words.pa, "default_memory_pool", lambda: pool)
+    seen = [(batch, len(released)) for batch in words.one_by_one(iter("abc"))]
+    assert seen == [("a", 0), ("b", 1), ("c", 2)] and len(released) == 3
+
+
 def test_packing_of_repeated_rows_and_empty_tables(documents):
     twice = documents([(1, "a b c"), (1, "a b c"), (None, "d")])
     got = packing.pack(twice, tokenizer_path(WORD_BPE)).collect()

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, mix, word_bytes, word_spans
+from rollcall.llm.words import Interned, chunks, column_bytes, kept_by_worker, letter_ends, mix, one_by_one, word_bytes, word_spans
 
 CAPACITY = 2048
 END_ID = 1
@@ -24,6 +24,8 @@ GROUP_BYTES = 4 << 20
 ROW_BYTES = 64
 #: Text that is cut into words at once: a worker holds about 30 bytes for each of these.
 TOKEN_BYTES = 1 << 19
+#: Words and their ids that a worker keeps, in all the stages that it outlives.
+KEPT_BYTES = 32 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -67,7 +69,7 @@ def word_tokens(path: str) -> Interned:
                 out[i] = ids_of(p.decode("utf-8", "replace"))
         return out
 
-    return Interned(make, np.uint32)
+    return Interned(make, np.uint32, KEPT_BYTES)
 
 
 def _chunk_ids(part: np.ndarray, ends: np.ndarray, tokens: Interned) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept_by_worker(f"words {tokenizer}", lambda: word_tokens(tokenizer))
-        for batch in batches:
+        for batch in one_by_one(batches):
             ids_of = batch.column(0).to_pylist()
             group_of = groups(batch.column(2).to_numpy(), n_groups).tolist()
             out: dict[str, list] = {k: [] for k in ("group", "doc_id", "start", "length", "crc", "doc_tokens", "ids")}

@@ -6,6 +6,7 @@ bytes of a column with running sums, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -54,14 +55,23 @@ def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> It
         first = last
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library hold unused."""
+    pa.default_memory_pool().release_unused()
+    # Of glibc; other C libraries do without.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; what Arrow holds unused after each is given back.
+    """The same batches; what Arrow and the C library hold unused after each is given back.
 
     Workers outlive their tasks, and would keep it for as long as they wait for others.
     """
     for batch in batches:
         yield batch
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 class Hasher:
@@ -183,27 +193,31 @@ class Interned:
 
     ``make`` turns a list of byte strings into one array each. Once strings and values take
     more than ``limit`` bytes everything is forgotten and computed anew, so memory stays
-    bounded whatever the strings are like.
+    bounded whatever the strings are like. Strings lie end to end in one buffer, found by
+    their sorted hashes and compared byte by byte; a Python object for each would take four
+    times the memory.
     """
 
     #: What a string takes beside its bytes and values.
-    ENTRY = 160
+    ENTRY = 40
 
-    def __init__(self, make, dtype, limit: int = 160 << 20) -> None:
+    def __init__(self, make, dtype, limit: int = 64 << 20) -> None:
         self._make, self._dtype, self._limit = make, dtype, limit
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[bytes, int] = {}
+        self._hash = np.zeros(0, np.int64)
+        self._place = np.zeros(0, np.int32)
+        self._strings = bytearray()
+        self._stop = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 16, self._dtype)
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self._used = 0
-        self._held = 0
 
     @property
     def n_bytes(self) -> int:
-        return self._held + self._used * self.flat.itemsize
+        return len(self._strings) + self.ENTRY * len(self._hash) + self._used * self.flat.itemsize
 
     @staticmethod
     def _grown(array: np.ndarray, n: int) -> np.ndarray:
@@ -213,20 +227,42 @@ class Interned:
         out[: len(array)] = array
         return out
 
-    def _add(self, keys: list[bytes]) -> None:
+    def _found(self, keys: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """The places of the strings, -1 for those that are not held."""
+        place = np.full(len(keys), -1, np.int64)
+        if not len(self._hash):
+            return place
+        at = np.minimum(np.searchsorted(self._hash, hashes), len(self._hash) - 1)
+        like = np.flatnonzero(self._hash[at] == hashes)
+        held = self._place[at[like]]
+        stops = self._stop[held]
+        starts = np.where(held > 0, self._stop[held - 1], 0)
+        strings = self._strings
+        for i, to, start, stop in zip(like.tolist(), held.tolist(), starts.tolist(), stops.tolist()):
+            # Of strings with one hash the first is found, and the others are made anew.
+            if strings[start:stop] == keys[i]:
+                place[i] = to
+        return place
+
+    def _add(self, keys: list[bytes], hashes: np.ndarray) -> np.ndarray:
         values = self._make(keys)
         sizes = np.fromiter(map(len, values), np.int64, len(values))
-        n, total = len(self._index), int(sizes.sum())
+        n, total = len(self._hash), int(sizes.sum())
         self.flat = self._grown(self.flat, self._used + total)
-        self.first = self._grown(self.first, n + len(keys))
-        self.size = self._grown(self.size, n + len(keys))
+        self._stop, self.first, self.size = (self._grown(x, n + len(keys)) for x in (self._stop, self.first, self.size))
         if total:
             self.flat[self._used : self._used + total] = np.concatenate(values)
         self.first[n : n + len(keys)] = self._used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
         self._used += total
-        self._held += sum(map(len, keys)) + self.ENTRY * len(keys)
-        self._index.update(zip(keys, range(n, n + len(keys))))
+        self._stop[n : n + len(keys)] = len(self._strings) + np.cumsum([len(k) for k in keys])
+        self._strings += b"".join(keys)
+        places = np.arange(n, n + len(keys))
+        order = np.argsort(hashes, kind="stable")
+        to = np.searchsorted(self._hash, hashes[order], "right")
+        self._hash = np.insert(self._hash, to, hashes[order])
+        self._place = np.insert(self._place, to, places[order])
+        return places
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The position of each string in ``first`` and ``size``; strings lie end to end."""
@@ -238,9 +274,11 @@ class Interned:
         keys = coded.dictionary.to_pylist()
         if self.n_bytes > self._limit:
             self._reset()
-        if new := [k for k in keys if k not in self._index]:
-            self._add(new)
-        place = np.fromiter(map(self._index.__getitem__, keys), np.int64, len(keys))
+        hashes = np.fromiter(map(hash, keys), np.int64, len(keys))
+        place = self._found(keys, hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._add([keys[i] for i in new.tolist()], hashes[new])
         return place[coded.indices.to_numpy()]
 
     def joined(self, codes: np.ndarray) -> np.ndarray:

@@ -167,6 +167,41 @@ def test_packing_cuts_text_into_words_in_bounded_memory(monkeypatch):
     assert len(given_back) > 1
 
 
+def interned(strings, store):
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    codes = store(data, np.cumsum([0, *map(len, strings)]))
+    return [store.flat[store.first[c] :][: store.size[c]].tolist() for c in codes]
+
+
+def test_kept_words_take_little_memory_and_keep_their_values():
+    made = []
+    store = words.Interned(lambda keys: made.extend(keys) or [list(k[:2]) for k in keys], np.uint32)
+    tracemalloc.start()
+    try:
+        for first in range(0, 100_000, 10_000):
+            interned([b"w%07d" % i for i in range(first, first + 10_000)], store)
+            made.clear()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    # Arrays grow by doubling, so some of this is not used yet.
+    assert held < 100_000 * 120
+    some = [b"w0000003", b"", b"new", b"w0099999", b"new", b"w", b"w0000003"]
+    assert interned(some, store) == [list(k[:2]) for k in some]
+    assert sorted(made) == [b"", b"new", b"w"]
+
+
+def test_kept_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "hash", lambda key: len(key) % 2, raising=False)
+    store = words.Interned(lambda keys: [list(k) for k in keys], np.uint32)
+    r = random.Random(3)
+    for _ in range(20):
+        some = [bytes(r.choices(b"abc", k=r.randint(0, 4))) for _ in range(30)]
+        assert interned(some, store) == [list(k) for k in some]
+    store._limit = 0
+    assert interned([b"ab", b"ba"], store) == [[97, 98], [98, 97]] and len(store._hash) == 2
+
+
 def test_what_arrow_holds_unused_is_given_back_after_every_batch(monkeypatch):
     released = []
     pool = type("Pool", (), {"release_unused": lambda self: released.append(1)})()

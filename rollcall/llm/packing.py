@@ -25,7 +25,7 @@ ROW_BYTES = 64
 #: Text that is cut into words at once: a worker holds about 30 bytes for each of these.
 TOKEN_BYTES = 1 << 19
 #: Words and their ids that a worker keeps, in all the stages that it outlives.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 48 << 20
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "

@@ -188,6 +188,16 @@ def letter_ends(data: np.ndarray, without: bytes = b"") -> np.ndarray:
     return out
 
 
+def _string_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of strings that lie end to end."""
+    size = np.diff(offsets)
+    powers = np.cumprod(np.full(size.max(initial=0), _BASE, np.uint64))
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * powers[at], out=sums[1:])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64))
+
+
 class Interned:
     """Values computed once per distinct byte string, then looked up for whole chunks.
 
@@ -206,10 +216,10 @@ class Interned:
         self._reset()
 
     def _reset(self) -> None:
-        self._hash = np.zeros(0, np.int64)
+        self._hash = np.zeros(0, np.uint64)
         self._place = np.zeros(0, np.int32)
-        self._strings = bytearray()
-        self._stop = np.zeros(1 << 12, np.int64)
+        self._strings = np.zeros(1 << 16, np.uint8)
+        self._bounds = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 16, self._dtype)
         self.first = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
@@ -217,7 +227,7 @@ class Interned:
 
     @property
     def n_bytes(self) -> int:
-        return len(self._strings) + self.ENTRY * len(self._hash) + self._used * self.flat.itemsize
+        return int(self._bounds[len(self._hash)]) + self.ENTRY * len(self._hash) + self._used * self.flat.itemsize
 
     @staticmethod
     def _grown(array: np.ndarray, n: int) -> np.ndarray:
@@ -227,21 +237,24 @@ class Interned:
         out[: len(array)] = array
         return out
 
-    def _found(self, keys: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    def _found(self, data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The places of the strings, -1 for those that are not held."""
-        place = np.full(len(keys), -1, np.int64)
+        place = np.full(len(hashes), -1, np.int64)
         if not len(self._hash):
             return place
         at = np.minimum(np.searchsorted(self._hash, hashes), len(self._hash) - 1)
+        # Of strings with one hash the first is found, and the others are made anew.
         like = np.flatnonzero(self._hash[at] == hashes)
         held = self._place[at[like]]
-        stops = self._stop[held]
-        starts = np.where(held > 0, self._stop[held - 1], 0)
-        strings = self._strings
-        for i, to, start, stop in zip(like.tolist(), held.tolist(), starts.tolist(), stops.tolist()):
-            # Of strings with one hash the first is found, and the others are made anew.
-            if strings[start:stop] == keys[i]:
-                place[i] = to
+        size = offsets[like + 1] - offsets[like]
+        equal = self._bounds[held + 1] - self._bounds[held] == size
+        like, held, size = like[equal], held[equal], size[equal]
+        ends = np.cumsum(size)
+        step = np.arange(size.sum()) - np.repeat(ends - size, size)
+        other = data[step + np.repeat(offsets[like], size)] != self._strings[step + np.repeat(self._bounds[held], size)]
+        wrong = np.concatenate([[0], np.cumsum(other)])
+        same = wrong[ends] == wrong[ends - size]
+        place[like[same]] = held[same]
         return place
 
     def _add(self, keys: list[bytes], hashes: np.ndarray) -> np.ndarray:
@@ -249,14 +262,17 @@ class Interned:
         sizes = np.fromiter(map(len, values), np.int64, len(values))
         n, total = len(self._hash), int(sizes.sum())
         self.flat = self._grown(self.flat, self._used + total)
-        self._stop, self.first, self.size = (self._grown(x, n + len(keys)) for x in (self._stop, self.first, self.size))
+        self.first, self.size = (self._grown(x, n + len(keys)) for x in (self.first, self.size))
         if total:
             self.flat[self._used : self._used + total] = np.concatenate(values)
         self.first[n : n + len(keys)] = self._used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
         self._used += total
-        self._stop[n : n + len(keys)] = len(self._strings) + np.cumsum([len(k) for k in keys])
-        self._strings += b"".join(keys)
+        self._bounds = self._grown(self._bounds, n + len(keys) + 1)
+        self._bounds[n + 1 : n + len(keys) + 1] = self._bounds[n] + np.cumsum([len(k) for k in keys])
+        start, stop = self._bounds[n], self._bounds[n + len(keys)]
+        self._strings = self._grown(self._strings, stop)
+        self._strings[start:stop] = np.frombuffer(b"".join(keys), np.uint8)
         places = np.arange(n, n + len(keys))
         order = np.argsort(hashes, kind="stable")
         to = np.searchsorted(self._hash, hashes[order], "right")
@@ -271,14 +287,14 @@ class Interned:
             return np.zeros(0, np.int64)
         buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         coded = pa.Array.from_buffers(pa.large_binary(), n, buffers).dictionary_encode()
-        keys = coded.dictionary.to_pylist()
         if self.n_bytes > self._limit:
             self._reset()
-        hashes = np.fromiter(map(hash, keys), np.int64, len(keys))
-        place = self._found(keys, hashes)
+        strings, bounds = column_bytes(coded.dictionary)
+        hashes = _string_hashes(strings, bounds)
+        place = self._found(strings, bounds, hashes)
         new = np.flatnonzero(place < 0)
         if len(new):
-            place[new] = self._add([keys[i] for i in new.tolist()], hashes[new])
+            place[new] = self._add(coded.dictionary.take(pa.array(new)).to_pylist(), hashes[new])
         return place[coded.indices.to_numpy()]
 
     def joined(self, codes: np.ndarray) -> np.ndarray:
